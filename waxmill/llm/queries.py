@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from waxmill.functions.ids import canonical_id_sql, clean_text, strip_blanks_sql
 from waxmill.llm.best import best_copy_order, best_representatives, current_files
 from waxmill.llm.history import exact_repeats, near_repeats
+from waxmill.llm.mixing import Target, mix
+from waxmill.llm.packing import containers, pack
 from waxmill.llm.topn import top_n
 from waxmill.sources.tables import read_table
 
@@ -40,7 +42,37 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found)}
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text, or of every piece of a text that is longer than a container."""
+    return pack(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that had to be cut: those longer than a container."""
+    return p7_contents(spark, d).filter("piece_no > 0").select("doc_id").distinct()
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each container with its number of items and its unused room."""
+    return containers(p7_contents(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = {r["source"]: Target(r["target_share"], r["max_repeats"]) for r in read_table(spark, d, "mix_targets").collect()}
+    return mix(read_table(spark, d, "documents"), "doc_id", "text", "source", targets)
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents taken, with their copies."""
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p7_found, p7_contents, p7_containers, p8_selection, p8_shares)}
 
 _FORMAT = f"regexp_replace({strip_blanks_sql('lower(format)')}, '^[.]+', '')"
 _CURRENT = f"""
