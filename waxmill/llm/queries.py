@@ -10,6 +10,7 @@ from waxmill.llm.best import best_copy_order, best_representatives, current_file
 from waxmill.llm.history import exact_repeats, near_repeats
 from waxmill.llm.mixing import Target, mix
 from waxmill.llm.packing import containers, pack
+from waxmill.llm.subjects import subject_areas
 from waxmill.llm.topn import top_n
 from waxmill.sources.tables import read_table
 
@@ -72,7 +73,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p7_found, p7_contents, p7_containers, p8_selection, p8_shares)}
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    subjects = [r["subject"] for r in read_table(spark, d, "subjects").orderBy("subject").collect()]
+    samples = [(r["text"], r["lang"], r["subject"].strip().lower()) for r in read_table(spark, d, "subject_samples").orderBy("sample_id").collect() if r["text"] and r["subject"]]
+    return subject_areas(read_table(spark, d, "documents"), "doc_id", "text", samples, subjects, "music")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    return _areas(spark, d).select("doc_id", "subject")
+
+
+def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus: documents by subject area."""
+    return _areas(spark, d).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p7_found, p7_contents, p7_containers, p8_selection, p8_shares, p9_found, p9_corpus)}
 
 _FORMAT = f"regexp_replace({strip_blanks_sql('lower(format)')}, '^[.]+', '')"
 _CURRENT = f"""
