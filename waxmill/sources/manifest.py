@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import subprocess
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,17 @@ from waxmill.functions.text import AUDIO_SUFFIXES, is_audio
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, audio_only: bool = True) -> DataFrame:
-    """path, length, modified of the files under a folder; suffixes are matched in any case."""
+    """path, length, modified of the files under a folder; suffixes are matched in any case.
+
+    The file source passes over empty files; they are added from its file index, with length 0 and no time, as a file that is
+    empty does exist.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     listed = found.select("path", "length", F.col("modificationTime").alias("modified"))
-    return listed.filter(is_audio("path")) if audio_only else listed
+    every = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "path string")
+    empty = every.join(listed.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    both = listed.unionByName(empty)
+    return both.filter(is_audio("path")) if audio_only else both
 
 
 def readable(manifest: DataFrame) -> DataFrame:
