@@ -49,7 +49,7 @@ def parse_complete(text: str | None) -> object:
     """The value of one complete JSON text; a JSON string that itself holds JSON is read as that. None for anything else."""
     try:
         while isinstance(text, str):
-            text = json.loads(text, parse_int=str, parse_float=_Number, parse_constant=_refuse)
+            text = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
             if isinstance(text, _Number):
                 return None
         return text
