@@ -96,19 +96,14 @@ class Encoder:
             return pa.array([[] for _ in range(len(texts))], pa.list_(pa.int32()))
         # white space round a line gives empty tokens, which hold no word
         code, ends, upper = (table[at, k] for k in range(3))
-        line = np.repeat(np.arange(len(line_sizes)), line_sizes)
+        every_line = np.repeat(np.arange(len(line_sizes)), line_sizes)
         full = code >= 0
-        code, ends, upper, line = code[full], ends[full], upper[full], line[full]
-        # the end mark may stand in a token without a word, such as a number or a bracket: it counts for the word before it
-        marks = np.zeros(len(full), bool)
-        if len(code):
-            place = np.cumsum(full) - 1
-            stray = np.nonzero(~full & (table[at, 1] > 0))[0]
-            stray = stray[place[stray] >= 0]
-            stray = stray[line[place[stray]] == np.repeat(np.arange(len(line_sizes)), line_sizes)[stray]]
-            marks = np.zeros(len(code), bool)
-            marks[place[stray]] = True
-        ends = (ends > 0) | marks
+        # an end mark in a token without a word, such as a number or a bracket, counts for the word before it on the line
+        before = np.cumsum(full) - 1
+        stray = np.nonzero(~full & (ends > 0) & (before >= 0))[0]
+        code, ends, upper, line = code[full], ends[full] > 0, upper[full], every_line[full]
+        stray = stray[line[before[stray]] == every_line[stray]]
+        ends[before[stray]] = True
         last = np.append(line[1:] != line[:-1], True) if len(line) else np.zeros(0, bool)
         next_upper = np.append(upper[1:] > 0, False) if len(line) else np.zeros(0, bool)
         # a number after a full stop belongs to the sentence: "pt. 2"
@@ -293,7 +288,8 @@ def embed_terms(met: np.ndarray, n_sentences: int) -> np.ndarray:
     chance = np.outer(df, df) / max(1, n_sentences)
     weighted = np.log1p(np.maximum(0, (met - chance) / np.sqrt(chance + 1)))
     np.fill_diagonal(weighted, 0)
-    k = min(DIMENSIONS, len(df))
+    # a smaller vocabulary has fewer directions that aren't noise
+    k = min(DIMENSIONS, len(df), max(8, len(df) * DIMENSIONS // MODEL_TERMS))
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(df), min(len(df), k + 16))))[0]
     for _ in range(6):
         basis = np.linalg.qr(weighted @ basis)[0]
