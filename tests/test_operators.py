@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waxmill.operators.blocks import best_match, block_candidates, block_index
-from waxmill.operators.candidates import RESULTS, first_seen, flatten_response, is_answer, ranked, track_place, with_fallback
+from waxmill.operators.candidates import RECORDINGS, RESULTS, first_seen, flatten_response, flatten_search, is_answer, ranked, track_place, with_fallback
 from waxmill.operators.catalog import add_blocks_of_new, add_missing_columns, delete_keys, insert_or_ignore, latest_snapshot, prune, repoint, upsert, write_snapshot
 from waxmill.operators.ranking import carry_forward, distributed_rank, keep_best, losers, number_collisions, paginate, rate_slots
 from waxmill.plans.maintenance import repair_status, write_report
@@ -149,6 +149,16 @@ def test_candidates(spark, candidates):
     assert [r[0] for r in flags.coalesce(1).select(is_answer(F.col("s"), F.col("r"))).collect()] == [True, False, False, False, False]
 
 
+def test_text_search_gives_the_same_rows(spark, candidates):
+    found = [{"id": "r9", "title": "T", "ext:score": "87", "release-list": [{"id": "R", "title": "A", "date": "1999-02-01", "medium-list": [{"position": "2", "track-list": [{"number": "B3", "recording": {"id": "r9"}}]}]}, {"id": "Q", "date": None}]}, {"id": "r8", "ext:score": "x"}]
+    df = spark.createDataFrame([("p", json.dumps(found)), ("n", None)], "path string, t string")
+    flat = flatten_search(df.select("path", F.from_json("t", RECORDINGS).alias("recordings")))
+    assert flat.columns == candidates.columns
+    got = flat.select("release_id", "similarity", "date", "country", "album_title", track_place(F.col("mediums"), F.lit("r9"), F.lit("none")).alias("place"))
+    assert sorted((*tuple(r)[:5], tuple(r["place"])) for r in got.collect()) == [("Q", 0.87, "Unknown", "XX", "Unknown Album", ("1", "1")), ("R", 0.87, "1999", "XX", "A", ("B3", "2"))]
+    assert first_seen(with_fallback(candidates, flat)).count() == 2
+
+
 def test_file_plans(spark):
     moves = spark.createDataFrame([("s1", "/l/a/x.mp3", 1), ("s1", "/l/b/x.mp3", 2), ("s2", "/l/b/x.mp3", 1), ("s3", "noext", 1), ("s4", "noext", 1)], "src string, target string, o int")
     taken = spark.createDataFrame([("/l/a/x.mp3",)], "target string")
