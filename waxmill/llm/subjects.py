@@ -145,9 +145,12 @@ class Lines:
         sentence = np.cumsum(~is_word) - ~is_word
         n = int(ends.sum())
         words, of = values[is_word], line[is_word]
-        hashed = np.zeros(n, np.uint64)
-        np.add.at(hashed, of, _mix(words))
-        return cls(words, of, sentence[is_word], doc[ends], values[ends], np.bincount(of, minlength=n), hashed.view(np.int64))
+        size = np.bincount(of, minlength=n)
+        # the sum over a line's words, as a difference of running sums, which wrap round
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words), dtype=np.uint64)])
+        end = np.cumsum(size)
+        hashed = running[end] - running[end - size]
+        return cls(words, of, sentence[is_word], doc[ends], values[ends], size, hashed.view(np.int64))
 
 
 def sentences(lines: Lines, notices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -388,7 +391,7 @@ def label_centroids(members: list[np.ndarray], held: list[tuple[set[int], str, s
 
 @dataclass
 class SubjectModel:
-    """terms: sorted codes; affinity: per term and subject the weighted similarity; notices: hashes of lines."""
+    """terms: sorted codes of those that tell a subject; affinity: per such term and subject the weighted similarity; notices: hashes of lines."""
 
     subjects: list[str]
     neutral: str
@@ -449,7 +452,8 @@ def fit(encoded: DataFrame, samples: list[tuple[str, str, str]], subjects: list[
             affinity[:, s] = np.maximum(affinity[:, s], near[:, c])
     most = affinity.max(1, keepdims=True)
     affinity = np.where(most >= TERM_COUNTS, most**3 * np.maximum(affinity, 0), 0)
-    return SubjectModel(subjects, neutral, terms, affinity, notices, words, [(label, [words[i] for i in m]) for label, m in zip(labels, members, strict=True)])
+    telling = affinity.max(1) > 0
+    return SubjectModel(subjects, neutral, terms[telling], affinity[telling], notices, words, [(label, [words[i] for i in m]) for label, m in zip(labels, members, strict=True)])
 
 
 def subject_areas(docs: DataFrame, id: str, text: str, samples: list[tuple[str, str, str]], subjects: list[str], neutral: str) -> DataFrame:
