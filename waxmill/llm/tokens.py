@@ -16,18 +16,20 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Longer texts are encoded in parts, cut where the pattern always cuts.
 PART = 200_000
 
-_ENCODINGS: dict = {}
-
 
 def encoding(ranks: bytes):
-    """The encoder of a rank file's contents, made once per process."""
+    """The encoder of a rank file's contents, made once per process.
+
+    It is kept with the library, as this module's own state is new in every task that it is sent to.
+    """
     import tiktoken
 
+    kept = tiktoken.__dict__.setdefault("waxmill_encodings", {})
     key = hash(ranks)
-    if key not in _ENCODINGS:
+    if key not in kept:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-    return _ENCODINGS[key]
+        kept[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return kept[key]
 
 
 def parts(text: str) -> Iterator[str]:
