@@ -2,6 +2,7 @@
 
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from waxmill.operators.ranking import carry_forward, distributed_rank, keep_best
 from waxmill.plans.maintenance import repair_status, write_report
 from waxmill.plans.organise import empty_folders, file_actions, tag_plan
 from waxmill.plans.views import register_album_tracks
+from waxmill.queries.reference import most_similar
 from waxmill.session import scratch_path
 from waxmill.sources.config import read_config, read_folders, write_default_config
 from waxmill.sources.manifest import excerpt_hashes, fingerprints, readable, scan_folder
@@ -106,6 +108,34 @@ def test_block_candidates_as_plain(spark):
     assert rows(best_match(pairs, "p", "k", F.col("a"), F.col("b"), 0.5)) == [(1, 2, 1.0)]
 
 
+def test_block_candidates_by_heavy_blocks_alone(spark):
+    rnd = random.Random(6)
+    pool = ["".join(rnd.choices("abcdefgh", k=16)) for _ in range(12)]
+    # a third are copies, and all blocks of the rest but a few are frequent too
+    sets = {i: set(pool[:5]) if i % 3 == 0 else {*rnd.sample(pool, rnd.randint(1, 5)), f"own{i}"} for i in range(120)}
+    index = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s], "id int, block string")
+    probes = index.filter("id % 10 = 0").select(F.col("id").alias("probe"), "block")
+    for least in (1, 2, 4):
+        got = {(r["probe"], r["id"]): r["shared"] for r in block_candidates(probes, index, "probe", "id", least, row_share=0.02).collect()}
+        assert got == {(p, i): len(sets[p] & sets[i]) for p in sets for i in sets if p % 10 == 0 and len(sets[p] & sets[i]) >= least}
+
+
+def test_most_similar_by_heavy_blocks_alone(spark):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    texts = {i: "H" * 16 + word(rnd.randint(20, 60)) for i in range(80)} | {80: word(40)}
+    texts |= {i: texts[0] for i in (20, 41)} | {30: texts[33]}
+    blocks_of = {i: {t[k : k + 16] for k in range(0, len(t), 16)} for i, t in texts.items()}
+    want = {}
+    for p in range(0, 81, 10):
+        found = [(-SequenceMatcher(None, texts[p], texts[i]).ratio(), i) for i in texts if i != p and blocks_of[p] & blocks_of[i]]
+        if found:
+            want[p] = (min(found)[1], -min(found)[0])
+    df = spark.createDataFrame(list(texts.items()), "arrival_no long, fingerprint string")
+    assert {r["probe"]: (r["arrival_no"], r["ratio"]) for r in most_similar(df, F.col("arrival_no") % 10 == 0).collect()} == want
+    assert len(want) == 8
+
+
 TRACK = {"position": "2", "title": " Song ", "recording": {"id": "other"}}
 RESPONSE = [
     {

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waxmill.functions.ids import canonical_id, canonical_id_sql, clean_text, not_blank, strip_blanks_sql, valid_path
 from waxmill.functions.quality import quality_score
+from waxmill.functions.similarity import matching_ratio
 from waxmill.functions.text import base_name, folder, is_audio, normal_title, parse_flag, sanitise, selected_numbers, suffix, table_row, track_label, zfill
 from waxmill.operators.blocks import best_match, block_candidates, block_index
 from waxmill.operators.candidates import with_fallback
@@ -17,6 +18,7 @@ from waxmill.operators.ranking import best_value, carry_forward, distributed_ran
 from waxmill.plans.maintenance import ghosts, missing_hashes, repair_status
 from waxmill.plans.organise import file_actions, target_path
 from waxmill.plans.views import album_tracks
+from waxmill.session import default_partitions
 from waxmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,25 +294,41 @@ def block_in_list(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "fingerprint_index").select(clean_text("block").alias("block"), "path").dropna().join(starts, "block", "left_semi").select("path").distinct()
 
 
-def _probe_pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
-    texts = read_table(spark, d, "known_fingerprints").select("arrival_no", "fingerprint").filter(not_blank("fingerprint")).distinct()
-    index = block_index(texts, "arrival_no")
-    probes = index.filter(F.col("arrival_no") % 100 == 0).select(F.col("arrival_no").alias("probe"), "block")
-    return block_candidates(probes, index, "probe", "arrival_no", least).filter("probe <> arrival_no")
+def _known_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "known_fingerprints").select("arrival_no", "fingerprint").filter(not_blank("fingerprint")).dropna().distinct()
 
 
 @query()
 def block_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Texts that share at least four blocks with those whose number is divisible by 100."""
-    return _probe_pairs(spark, d, 4)
+    index = block_index(_known_texts(spark, d), "arrival_no")
+    probes = index.filter(F.col("arrival_no") % 100 == 0).select(F.col("arrival_no").alias("probe"), "block")
+    return block_candidates(probes, index, "probe", "arrival_no", 4).filter("probe <> arrival_no")
 
 
 @query()
 def similarity_best_match(spark: SparkSession, d: str) -> DataFrame:
     """The most similar text, of those that share a block, of each text whose number is divisible by 100."""
-    texts = read_table(spark, d, "known_fingerprints").select("arrival_no", "fingerprint").filter(not_blank("fingerprint")).distinct()
-    pairs = _probe_pairs(spark, d, 1).join(texts, "arrival_no").join(texts.select(F.col("arrival_no").alias("probe"), F.col("fingerprint").alias("wanted")), "probe")
-    return best_match(pairs, "probe", "arrival_no", F.col("wanted"), F.col("fingerprint"))
+    return most_similar(_known_texts(spark, d), F.col("arrival_no") % 100 == 0)
+
+
+def most_similar(texts: DataFrame, is_probe: Column) -> DataFrame:
+    """probe, arrival_no, ratio: for each of the texts (arrival_no, fingerprint) that is_probe, the most similar other one that shares a block.
+
+    Equal texts are one class, named by its smallest number, and rated once: a probe's best is the best of the other classes or a copy of its own.
+    """
+    two = texts.withColumn("__k", F.row_number().over(Window.partitionBy("fingerprint").orderBy("arrival_no"))).filter("__k <= 2")
+    classes = two.groupBy("fingerprint").agg(F.min("arrival_no").alias("arrival_no"), F.max(F.when(F.col("__k") == 2, F.col("arrival_no"))).alias("second"))
+    probes = texts.filter(is_probe).withColumnRenamed("arrival_no", "probe").join(classes, "fingerprint").select("probe", F.col("arrival_no").alias("own"), "second", "fingerprint")
+    wanted = probes.select("own", "second", F.col("fingerprint").alias("wanted")).distinct()
+    pairs = block_candidates(block_index(wanted, "own", "wanted"), block_index(classes, "arrival_no"), "own", "arrival_no", 1).filter("own <> arrival_no")
+    # a text's pairs together, for all tasks: the matcher prepares each second text once
+    rated = pairs.join(wanted, "own").join(classes.select("arrival_no", "fingerprint"), "arrival_no").repartition(default_partitions(texts.sparkSession), "arrival_no").sortWithinPartitions("arrival_no")
+    others = best_match(rated, "own", "arrival_no", F.col("wanted"), F.col("fingerprint"))
+    copies = wanted.filter("second is not null").select("own", "second", matching_ratio(F.col("wanted"), F.col("wanted")).alias("ratio"))
+    own = probes.select("probe", "own")
+    found = own.join(others, "own").select("probe", "arrival_no", "ratio").unionByName(own.join(copies, "own").select("probe", F.when(F.col("probe") == F.col("own"), F.col("second")).otherwise(F.col("own")).alias("arrival_no"), "ratio"))
+    return keep_best(found, ["probe"], [F.desc("ratio"), F.asc("arrival_no")])
 
 
 # ---- names, tracks, targets ----------------------------------------------------------------------------------------
