@@ -215,3 +215,16 @@ def test_subjects_of_nothing(spark, corpus):
     df = spark.createDataFrame([], "doc long, body string")
     assert S.subject_areas(df, "doc", "body", corpus[2], ["law", "music"], "music").count() == 0
     assert S.subject_areas(spark.createDataFrame([(1, "One short text is here.")], "doc long, body string"), "doc", "body", [], ["law", "music"], "music").collect()[0]["subject"] == "music"
+
+
+def test_notices_are_lines_of_texts_that_differ(spark):
+    rnd = random.Random(8)
+    line = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrst", k=6)) for _ in range(n))
+    log, repeated, notice = [line(6) for _ in range(20)], line(5), "follow us on the usual sites"
+    # a tenth are near copies of one log, one log repeats a message, and a notice stands in texts of their own
+    texts = ["\n".join([*log, line(6)]) for _ in range(30)] + ["\n".join([repeated] * 50)]
+    texts += ["\n".join([notice, *(line(8) for _ in range(10))]) if i % 10 == 0 else "\n".join(line(8) for _ in range(10)) for i in range(270)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "digest string, text string")
+    encoded = S.encode_texts(df).filter("digest is not null")
+    wanted = S.Lines.of(S.Encoder().encode(pa.array([notice]))).hash.tolist()
+    assert S.count_lines_and_words(encoded)[0] == wanted

@@ -29,8 +29,10 @@ from waxmill.session import materialize
 MODEL_TERMS, DIMENSIONS = 2048, 128
 #: A term in a larger share of the texts carries no subject and isn't among the model's terms.
 TOO_COMMON = 0.4
-#: A line of at most so many words that recurs in this share of the texts (in three at least) is a notice or menu.
+#: A line of at most so many words that recurs in this share of the texts (in three at least) is a notice or menu. Near copies count as one text.
 NOTICE_WORDS, NOTICE_SHARE = 16, 0.002
+#: Near copies agree in one of so many bands of so many smallest hashes of their word pairs, which about half the pairs in common makes likely.
+BANDS, BAND_ROWS = 16, 4
 #: Sentences: of at least so many words; text without punctuation is cut into sentences of about USUAL words once it is longer than LONGEST.
 SHORTEST, USUAL, LONGEST = 3, 15, 40
 #: Terms join a centroid of at least this similarity; a centroid of fewer terms stands for nothing.
@@ -196,6 +198,45 @@ def encode_texts(texts: DataFrame) -> DataFrame:
     return materialize(texts.select("digest", "text").mapInArrow(run, "digest string, codes array<int>, words array<string>"), "encoded")
 
 
+def near_copy_bands(lines: Lines, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(those of the texts `among` that have words, BANDS hashes of each): of two texts with most word pairs in common some band is equal."""
+    doc = lines.doc[lines.line]
+    wanted = np.isin(doc, among)
+    doc = doc[wanted]
+    if not len(doc):
+        return doc, np.zeros((0, BANDS), np.int64)
+    mixed = _mix(lines.words[wanted])
+    pairs = mixed.copy()
+    pairs[:-1] += np.where(doc[1:] == doc[:-1], mixed[1:] * np.uint64(3), np.uint64(0))
+    starts = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0]
+    bands = np.zeros((len(starts), BANDS), np.uint64)
+    for k in range(BANDS * BAND_ROWS):
+        least = np.minimum.reduceat(_mix(pairs ^ _mix(np.array([k + 1]))), starts)
+        bands[:, k // BAND_ROWS] = _mix(bands[:, k // BAND_ROWS] + least)
+    return doc[starts], bands.view(np.int64)
+
+
+def notices_of(encoded: DataFrame, recurring: np.ndarray, least: float) -> list[int]:
+    """Those of the sorted hashes of recurring lines that at least `least` texts hold when near copies count as one: they are what else is different."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, lines = part.column(0).to_numpy(), Lines.of(part.column(1))
+                held = (lines.size <= NOTICE_WORDS) & (lines.size > 0) & np.isin(lines.hash, recurring)
+                texts, bands = near_copy_bands(lines, lines.doc[held])
+                # band -1: the lines of a text
+                columns = [np.append(np.repeat(ids[texts], BANDS), ids[lines.doc[held]]), np.append(np.tile(np.arange(BANDS), len(texts)), np.full(int(held.sum()), -1)), np.append(bands.ravel(), lines.hash[held])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in columns], names=["text", "band", "hash"])
+
+    rows = materialize(encoded.select(F.xxhash64("digest").alias("text"), "codes").mapInArrow(run, "text long, band long, hash long"), "bands")
+    bands = rows.filter("band >= 0")
+    first = bands.groupBy("band", "hash").agg(F.min("text").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = bands.join(first, ["band", "hash"]).groupBy("text").agg(F.min("first").alias("cluster"))
+    held = rows.filter("band < 0").select("text", "hash").distinct().join(copies, "text", "left").select("hash", F.coalesce("cluster", "text").alias("cluster"))
+    counted = held.distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    return [r["hash"] for r in counted.filter(F.col("n") >= least).collect()]
 
 
 def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int], int]:
@@ -218,7 +259,12 @@ def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int]
                 lines = Lines.of(part)
                 total += len(part)
                 short = (lines.size <= NOTICE_WORDS) & (lines.size > 0)
-                yield rows(1, *np.unique(lines.hash[short], return_counts=True))
+                # once per text
+                of, hashed = lines.doc[short], lines.hash[short]
+                order = np.lexsort((hashed, of))
+                of, hashed = of[order], hashed[order]
+                new = np.append(True, (of[1:] != of[:-1]) | (hashed[1:] != hashed[:-1]))[: len(of)]
+                yield rows(1, *np.unique(hashed[new], return_counts=True))
                 doc_word = np.unique(lines.doc[lines.line] << 32 | lines.words)
                 words = np.concatenate([words, np.stack(np.unique(doc_word & 0xFFFFFFFF, return_counts=True), 1)])
                 if len(words) > 500_000:
@@ -231,7 +277,9 @@ def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int]
     counted = materialize(counted.filter("kind <> 1 or n > 2"), "counts")
     total = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     # at most (lines of a text) / NOTICE_SHARE hashes
-    notices = [r["key"] for r in counted.filter((F.col("kind") == 1) & (F.col("n") >= max(3, NOTICE_SHARE * total))).collect()]
+    least = max(3, NOTICE_SHARE * total)
+    recurring = [r["key"] for r in counted.filter((F.col("kind") == 1) & (F.col("n") >= least)).collect()]
+    notices = notices_of(encoded, np.array(sorted(recurring), np.int64), least) if recurring else []
     terms = counted.filter((F.col("kind") == 2) & (F.col("n") >= 3) & (F.col("n") <= max(3, TOO_COMMON * total))).orderBy(F.desc("n"), "key").limit(MODEL_TERMS)
     return notices, {r["key"]: r["n"] for r in terms.collect()}, total
 
