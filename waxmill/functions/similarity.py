@@ -29,4 +29,5 @@ def matching_ratio(a: Column, b: Column, autojunk: bool = True) -> Column:
             out.append(matcher.ratio())
         return pd.Series(out, dtype="float64")
 
-    return ratio(a, b)
+    # so that filters on the ratio don't compute it again
+    return ratio.asNondeterministic()(a, b)
