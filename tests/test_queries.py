@@ -32,3 +32,16 @@ def test_entry_has_a_stable_schema(spark):
     assert df.columns == ["table_name", "ref_key", "batch_no", "kind"]
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_record_of_a_group_is_left_out(spark, small):
+    from waxmill.queries.reference import current, releases
+
+    files = current(spark, small).filter("acoustid_id is not null")
+    slices = QUERIES["group_all_records"](spark, small).collect()
+    assert sorted(p for r in slices for p in r["paths"].split("\n")) == sorted(r["path"] for r in files.select("path").collect())
+    assert max(len(r["paths"].split("\n")) for r in slices) <= 100
+    larger = small.replace("sf0.001", "sf0.01")
+    ranks = QUERIES["candidate_rank_all"](spark, larger).collect()
+    assert sorted(r["release_id"] for r in ranks) == sorted(r["release_id"] for r in releases(spark, larger).select("release_id").collect())
+    assert max(r["rank_no"] for r in ranks) > 5

@@ -194,6 +194,19 @@ def group_records(spark: SparkSession, d: str) -> DataFrame:
     return listed.select("acoustid_id", F.array_join(F.transform("r", lambda x: x["path"]), "\n").alias("best_paths"))
 
 
+#: Records in one slice of a group.
+SLICE = 100
+
+
+@query(f"WITH {_CURRENT}, r AS (SELECT acoustid_id, path, row_number() OVER (PARTITION BY acoustid_id ORDER BY score DESC NULLS LAST, path) - 1 AS k FROM cur WHERE acoustid_id IS NOT NULL) SELECT acoustid_id, k // 100 AS slice_no, string_agg(path, chr(10) ORDER BY k) AS paths FROM r GROUP BY ALL")
+def group_all_records(spark: SparkSession, d: str) -> DataFrame:
+    """All files of every recording, best first, in slices of SLICE; group_records is the top five of them."""
+    ranked = distributed_rank(current(spark, d).filter("acoustid_id is not null").select("acoustid_id", "path", "score"), ["acoustid_id"], _best())
+    sliced = ranked.withColumn("slice_no", F.floor((F.col("rank_no") - 1) / SLICE).cast("bigint"))
+    listed = sliced.groupBy("acoustid_id", "slice_no").agg(F.array_sort(F.collect_list(F.struct("rank_no", "path"))).alias("r"))
+    return listed.select("acoustid_id", "slice_no", F.array_join(F.transform("r", lambda x: x["path"]), "\n").alias("paths"))
+
+
 @query(f"SELECT recipe, lower({strip_blanks_sql('audio_hash')}) AS hash, count(DISTINCT path) AS members, min(path) AS first_path FROM audio_hashes WHERE {strip_blanks_sql('audio_hash')} <> '' AND {strip_blanks_sql('path')} <> '' GROUP BY ALL HAVING count(DISTINCT path) > 1")
 def exact_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "audio_hashes").select("recipe", F.lower(clean_text("audio_hash")).alias("hash"), valid_path("path").alias("path")).filter("hash is not null and path is not null").distinct()
@@ -257,6 +270,14 @@ def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
     return releases(spark, d).withColumn("rank_no", F.row_number().over(place).cast("bigint")).filter("rank_no <= 5").select("album_artist", "release_id", "rank_no")
 
 
+@query(f"WITH {_ALBUMS} SELECT album_artist, release_id, row_number() OVER (PARTITION BY album_artist ORDER BY coalesce(country = 'US', false) DESC, release_date DESC NULLS LAST, release_id) AS rank_no FROM one")
+def candidate_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every release of an artist, in the order of candidate_rank, which is the top five of it."""
+    rows = releases(spark, d).select("album_artist", "release_id", "release_date", F.coalesce(F.col("country") == "US", F.lit(False)).alias("home"))
+    order = [F.desc("home"), F.col("release_date").desc_nulls_last(), F.asc("release_id")]
+    return distributed_rank(rows, ["album_artist"], order).select("album_artist", "release_id", F.col("rank_no").cast("bigint").alias("rank_no"))
+
+
 @query(f"WITH {_CURRENT} SELECT acoustid_id, min(path) AS path FROM cur WHERE acoustid_id IS NOT NULL AND score >= 1e15 GROUP BY acoustid_id HAVING count(*) = 1")
 def single_candidate(spark: SparkSession, d: str) -> DataFrame:
     return current(spark, d).filter("acoustid_id is not null and score >= 1e15").groupBy("acoustid_id").agg(F.min("path").alias("path"), F.count("*").alias("n")).filter("n = 1").drop("n")
