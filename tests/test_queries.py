@@ -45,3 +45,20 @@ def test_no_record_of_a_group_is_left_out(spark, small):
     ranks = QUERIES["candidate_rank_all"](spark, larger).collect()
     assert sorted(r["release_id"] for r in ranks) == sorted(r["release_id"] for r in releases(spark, larger).select("release_id").collect())
     assert max(r["rank_no"] for r in ranks) > 5
+
+
+def test_dirty_tracks_and_lists(spark, tmp_path):
+    """No track number is passed over, and answers are lists."""
+    tracks = ["", "3/16", "7", "101", " 3", "+3", "-4", "0", "21", "1.5", "1e2", "A1", "99999999999", "1, 3", "1,3,", "2,x", ",", None]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame([("a", t) for t in tracks], "album_id string, track_no string").coalesce(1).write.parquet(str(tmp_path / "t" / "files.parquet"))
+    folder = str(tmp_path / "t")
+    con = oracle.connect(folder)
+    for name in ("zfill_track_all", "selection_lists"):
+        assert oracle.compare(spark, folder, QUERIES[name], SQL[name], con) is None
+    got = {r["track_no"]: (r["padded"], r["label"], r["number"]) for r in QUERIES["zfill_track_all"](spark, folder).collect()}
+    assert set(got) == set(tracks)
+    assert (got[""], got["3/16"], got["7"], got["99999999999"]) == (("00", "00 x", None), ("3/16", "16 x", None), ("07", "07 x", 7), ("99999999999", "99 x", None))
+    picks = {r["answer"]: r["picks"] for r in QUERIES["selection_lists"](spark, folder).collect()}
+    assert {a for a in tracks if a is not None} < set(picks)
+    assert {a: p for a, p in picks.items() if p is not None} == {"7": "7", " 3": "3", "+3": "3", "1, 3": "1,3"}

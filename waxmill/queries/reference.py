@@ -373,6 +373,18 @@ def zfill_track(spark: SparkSession, d: str) -> DataFrame:
     return tracks.select("track_no", zfill("track_no").alias("padded"), track_label("track_no", F.lit("x")).alias("label"), F.col("track_no").try_cast("int").alias("number"))
 
 
+def _whole_sql(text: str) -> str:
+    """The whole number in a text as selected_numbers reads it; null for anything else and beyond 32 bits."""
+    return f"CASE WHEN regexp_full_match({strip_blanks_sql(text)}, '[+-]?[0-9]+') THEN TRY_CAST({strip_blanks_sql(text)} AS INT) END"
+
+
+@query(f"SELECT DISTINCT track_no, CASE WHEN length(track_no) >= 2 THEN track_no ELSE lpad(track_no, 2, '0') END AS padded, right('00' || track_no, 2) || ' x' AS label, {_whole_sql('track_no')} AS number FROM files")
+def zfill_track_all(spark: SparkSession, d: str) -> DataFrame:
+    """zfill_track over every track number, empty texts and forms such as 3/16 among them: those are padded and labelled as they are and are no number."""
+    tracks = read_table(spark, d, "files").select("track_no").distinct()
+    return tracks.select("track_no", zfill("track_no").alias("padded"), track_label("track_no", F.lit("x")).alias("label"), F.col("track_no").try_cast("int").alias("number"))
+
+
 @query("SELECT DISTINCT title, lower(trim(coalesce(title, ''), ' ')) AS normal FROM files")
 def normal_titles(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").select("title").distinct().select("title", normal_title("title").alias("normal"))
@@ -420,6 +432,21 @@ def selection_parser(spark: SparkSession, d: str) -> DataFrame:
     return answers.select("answer", F.get(selected_numbers("answer", F.lit(9)), F.lit(0)).alias("first_pick"))
 
 
+_PICKS = f"list_transform(string_split(answer, ','), lambda x: {_whole_sql('x')})"
+
+
+@query(
+    "WITH a AS (SELECT track_no AS answer FROM files WHERE track_no IS NOT NULL UNION SELECT string_agg(DISTINCT track_no, ', ' ORDER BY track_no) FROM files WHERE track_no IS NOT NULL GROUP BY album_id) "
+    f"SELECT answer, CASE WHEN len(list_filter({_PICKS}, lambda n: coalesce(n BETWEEN 1 AND 20, false))) = len({_PICKS}) THEN array_to_string({_PICKS}, ',') END AS picks FROM a"
+)
+def selection_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The whole list that an answer selects of 20, for every track number and every release's list of them; null if any part isn't a number from 1 to 20."""
+    tracks = read_table(spark, d, "files").select("album_id", "track_no").filter(F.col("track_no").isNotNull())
+    lists = tracks.groupBy("album_id").agg(F.array_join(F.array_sort(F.collect_set("track_no")), ", ").alias("answer")).select("answer")
+    answers = tracks.select(F.col("track_no").alias("answer")).union(lists).distinct()
+    return answers.select("answer", F.array_join(selected_numbers("answer", F.lit(20)), ",").alias("picks"))
+
+
 # ---- JSON ----------------------------------------------------------------------------------------------------------
 
 
