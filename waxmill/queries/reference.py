@@ -343,8 +343,9 @@ def most_similar(texts: DataFrame, is_probe: Column) -> DataFrame:
     probes = texts.filter(is_probe).withColumnRenamed("arrival_no", "probe").join(classes, "fingerprint").select("probe", F.col("arrival_no").alias("own"), "second", "fingerprint")
     wanted = probes.select("own", "second", F.col("fingerprint").alias("wanted")).distinct()
     pairs = block_candidates(block_index(wanted, "own", "wanted"), block_index(classes, "arrival_no"), "own", "arrival_no", 1).filter("own <> arrival_no")
-    # a text's pairs together, for all tasks: the matcher prepares each second text once
-    rated = pairs.join(wanted, "own").join(classes.select("arrival_no", "fingerprint"), "arrival_no").repartition(default_partitions(texts.sparkSession), "arrival_no").sortWithinPartitions("arrival_no")
+    # numbers alone are shuffled, and a text's pairs meet, for which the matcher then prepares it once
+    placed = pairs.repartition(default_partitions(texts.sparkSession), "arrival_no")
+    rated = placed.join(wanted, "own").join(classes.select("arrival_no", "fingerprint"), "arrival_no")
     others = best_match(rated, "own", "arrival_no", F.col("wanted"), F.col("fingerprint"))
     copies = wanted.filter("second is not null").select("own", "second", matching_ratio(F.col("wanted"), F.col("wanted")).alias("ratio"))
     own = probes.select("probe", "own")
