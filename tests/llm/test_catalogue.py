@@ -6,11 +6,13 @@ import random
 import brute
 import oracle
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from waxmill.llm import history as H
 from waxmill.llm.best import best_representatives, format_class, usable_score
 from waxmill.llm.currency import current_versions, learn_precedence
 from waxmill.llm.history import TextHistory, accept_in_order, exact_repeats, near_repeats
@@ -142,13 +144,96 @@ def test_batches_one_at_a_time(spark):
     assert {x for x in got if x[0] <= max(r[1] for r in usual)} == brute.near_repeats(usual)
 
 
-def test_chains_are_accepted_in_order(spark):
+@pytest.mark.parametrize("one_task", [0, 2, 100])
+def test_chains_are_accepted_in_order(spark, one_task):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 8)] + [(0, 3)], "old long, new long")
-    got = {(r["new"], r["matched"]) for r in accept_in_order(pairs, spark.createDataFrame([(0,)], "id long")).collect()}
+    got = {(r["new"], r["matched"]) for r in accept_in_order(pairs, one_task).collect()}
     # 1 is accepted, 2 repeats it, 3 repeats 0, 4 is accepted as 3 isn't, ...
     assert got == {(2, 1), (3, 0), (5, 4), (7, 6)}
 
 
+def stored_rows(history, table):
+    return sorted(map(str, history.spark.table(table).collect()))
+
+
+def test_a_batch_added_again_changes_nothing(spark, monkeypatch):
+    rows = texts(3)
+    history = TextHistory(spark, scratch_path(spark, "history"))
+    part = lambda b: spark.createDataFrame([r[:2] for r in rows if r[2] == b], "fp string, arrival_no long")
+    add = lambda b: sorted(tuple(r) for r in history.add(b, part(b), "fp", "arrival_no").collect())
+    first = [add(b) for b in range(3)]
+    assert first[1] and first[2]
+    tables = [stored_rows(history, t) for t in (history._texts, history._pieces)]
+    assert [add(b) for b in (0, 0, 1, 2, 1)] == [first[b] for b in (0, 0, 1, 2, 1)]
+    assert [stored_rows(history, t) for t in (history._texts, history._pieces)] == tables
+    # a batch that fails between its writes isn't seen, and is whole once it is added again
+    insert = TextHistory._insert
+    monkeypatch.setattr(TextHistory, "_insert", lambda self, df, table, *more: insert(self, df, table, *more) if table == history._pieces else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        add(3)
+    monkeypatch.undo()
+    assert history.batches() == [0, 1, 2]
+    last = add(3)
+    again = TextHistory(spark, history.folder)
+    assert (again.batches(), again._common) == ([0, 1, 2, 3], history._common)
+    assert sorted(tuple(r) for r in again.add(3, part(3), "fp", "arrival_no").collect()) == last
+    assert stored_rows(again, again._texts) == stored_rows(history, history._texts)
+    again.close()
+
+
+def test_a_crowd_is_compared_with_its_first(spark, monkeypatch):
+    """Many texts that all agree cost pairs with the earliest only, in the history and within a batch."""
+    monkeypatch.setattr(H, "HEAD", 4)
+    rnd = random.Random(5)
+    crowds = [["".join(rnd.choices("ABCDEFGH", k=120))] * 60 for _ in range(3)]
+    rows = [(edited(rnd, t, 1), 10 * i + j, b) for b, crowd in enumerate([crowds[:1], crowds[:2], crowds]) for j, c in enumerate(crowd) for i, t in enumerate(c, 100 * b)]
+    rows = [(t, a, b) for a, (t, _, b) in enumerate(rows, 1)]
+    counts = []
+    seen = H._verified
+    monkeypatch.setattr(H, "_verified", lambda *a: [counts.append(a[0].distinct().count()), seen(*a)][1])
+    got = {(r["arrival"], r["matched"]) for r in near_repeats(spark.createDataFrame(rows, "fp string, a long, b int"), "fp", "a", "b").collect()}
+    assert got == brute.near_repeats(rows)
+    assert sum(counts) < 60 * 60
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_agreeing_texts_meet_in_a_block(seed):
+    """Whatever the edits, also with common pieces everywhere."""
+    rnd = random.Random(seed)
+    for _ in range(150):
+        n = rnd.choice([1, 7, 18, 19, 20, 21, 37, 38, 39, 40, 56, 57, 58, 59, 60, 100, 113, 114, 119, 120, 180, 189, 190, 200, 340, 700])
+        base = ("".join(rnd.choices("ABCDEFGHIJ", k=n)) if rnd.random() < 0.5 else ("AAAAAAARI2kuEvCB" * 50)[:n])
+        k = int(n * 0.05 + 1e-9)
+        step = max(1, n // (k + 1))
+        out = list(base)
+        for i in range(k, 0, -1):
+            at = min(len(out) - 1, i * step + rnd.randint(-1, 1))
+            kind = rnd.randrange(3)
+            out[at : at + 1] = ["z"] if kind == 0 else [] if kind == 1 else ["z", out[at]]
+        pair = [base, "".join(out)]
+        if not brute.agree(*pair):
+            continue
+        codes, starts, ends = H._coded(pa.array(pair))
+        common = H.Common([int(x) for c, s in enumerate(H.stretches()) for x in H._pieces_hashed(codes, c, s.piece)[::2]] if rnd.random() < 0.5 else [])
+        stored, looked_up = H.blocks_of(codes, starts, ends, common)
+        for old, new in ((0, 1), (1, 0)):
+            shift = int(max(map(len, pair)) * 0.05 + 1e-9)
+            a = [(int(b), int(p)) for t, b, p in zip(*stored, strict=True) if t == old]
+            b = [(int(b), int(p)) for t, b, p in zip(*looked_up, strict=True) if t == new]
+            assert any(x == y and abs(p - q) <= shift for x, p in a for y, q in b), pair
+
+
+def test_long_texts_in_parts(monkeypatch):
+    rnd = random.Random(9)
+    text = "".join(rnd.choices("ABCDEFGHIJ", k=5000))
+    whole = H.blocks_of(*H._coded(pa.array([text, "x" * 700])), H.Common([]))
+    monkeypatch.setattr(H, "CHUNK", 333)
+    parts = H.blocks_of(*H._coded(pa.array([text, "x" * 700])), H.Common([]))
+    for a, b in zip(whole, parts, strict=True):
+        assert {tuple(map(int, x)) for x in zip(*a, strict=True)} == {tuple(map(int, x)) for x in zip(*b, strict=True)}
+    assert (H.parities(*H._coded(pa.array([text]))) == H.parities(*H._coded(pa.array([text])))).all()
+
+
 def test_repeats_of_nothing(spark):
     none = spark.createDataFrame([], "t string, a long, b int")
     assert near_repeats(none, "t", "a", "b").count() == 0

@@ -2,34 +2,57 @@
 
 Exact values (hashes): a row repeats the first row of its value.
 
-Near copies (texts within a share of edits): every accepted text is stored once, with a bit-difference fingerprint (the parities
-of its hashed character pairs, so that k edits change at most 4k bits) and, in a block table, with the hashes of k+1 disjoint
-pieces. k edits can't touch all of them, so a text that nearly repeats it holds one of the pieces unchanged, moved by at most k
-places: looking up all pieces of a new text by exact match finds every partner. Matches are verified first by the Hamming
-distance of the fingerprints, then by the edit distance of the texts. New accepted texts are appended to the tables.
+Near copies (texts within a share of edits): `TextHistory` keeps every accepted text with a bit-difference fingerprint (the parities
+of its hashed character pairs, so that k edits change at most 4k bits) and, in a block table, with the blocks it is found by. A new
+batch is looked up by exact matches of blocks, verified first by the Hamming distance of the fingerprints and then by the edit
+distance of the texts, and what is accepted of it is appended.
+
+k edits can't touch all of k+1 stretches of a text that don't overlap, so a text that agrees with it has one of them unchanged, moved by
+at most k places. A stretch is known by the piece with the least hash in it, its block: k+1 blocks are stored of every text, and a new text
+looks up the least pieces of all its stretches, neighbouring ones mostly having the same. Nothing is missed. Pieces that many texts hold
+come last in the order of the hashes, and stretches that have only such pieces are passed over where others are enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waxmill.functions.ids import not_blank
-from waxmill.session import materialize
+from waxmill.session import default_partitions, materialize, scratch_path
 
 #: Edits allowed, as a share of the longer text.
 EDIT_SHARE = 0.05
-#: Texts from this length on are cut into long pieces; shorter ones, which may differ by one edit at most, into short ones.
-LONG_TEXT, LONG_PIECE, SHORT_PIECE = 33, 12, 8
+#: Lengths of the stored text from which on longer stretches are used; below the first no edit is allowed and the whole text is the block.
+CLASSES = (19, 38, 57, 114, 190)
+#: Characters of a piece, and in short texts.
+PIECE, SHORT_PIECE = 8, 6
+#: The part of a stretch that is given up so that some can be passed over.
+SPARE = 0.08
 #: Bits of the bit-difference fingerprint, in words of 64.
 WORDS = 4
-#: A piece in more texts than this is common; a text's rarest pieces are stored.
-COMMON = 16
+#: A piece held by this share of the first batch's texts is common; so many of the most frequent are remembered. Neither changes what is found.
+COMMON_SHARE, MOST_COMMON = 0.001, 1 << 16
+#: The earliest so many texts of a block are compared first; the others only where an earlier partner may be among them.
+HEAD = 64
+#: Characters worked on at once.
+CHUNK = 1 << 20
+#: Batches made ready at the same time.
+AHEAD = 2
+#: What is left to decide in order is decided in one task once it is at most so many pairs (16 bytes each).
+ONE_TASK_PAIRS = 2_000_000
+
+TEXTS = "id bigint, text string, len int, bits array<bigint>"
+PIECES = "id bigint, len int, piece bigint, first int, last int"
 
 
 def most_edits(longer: Column) -> Column:
@@ -37,27 +60,266 @@ def most_edits(longer: Column) -> Column:
     return F.floor(longer * F.lit(EDIT_SHARE) + F.lit(1e-9)).cast("int")
 
 
-def edits_within_reach(length: Column) -> Column:
-    """Edits allowed between a text of this length and the longest text that can still agree with it."""
-    return F.floor(length / F.lit(1 / EDIT_SHARE - 1) + F.lit(1e-9)).cast("int")
+@dataclass(frozen=True)
+class Stretch:
+    """Of stored texts of `low` to `high - 1` characters: the length of a stretch and of the pieces in it."""
+
+    low: int
+    high: int
+    size: int
+    piece: int
 
+    @property
+    def width(self) -> int:
+        """Pieces in a stretch."""
+        return self.size - self.piece + 1
 
-def _parities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    bits = np.uint64(64 * WORDS)
-    for texts in batches:
-        out = []
-        for text in texts:
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17)
-            odd = np.bincount((pairs % bits).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
-            out.append(np.packbits(odd).view(np.int64).tolist())
-        yield pd.Series(out)
 
+def reach(length: int) -> int:
+    """Edits allowed between a text of this length and the longest text that can still agree with it."""
+    return length // round(1 / EDIT_SHARE - 1)
+
+
+def stretches() -> list[Stretch]:
+    """Of every class of lengths: so many stretches as edits are within reach, and one more, find room in every text."""
+    out = []
+    for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 31), strict=True):
+        # beyond some thousand characters there is only more room
+        room = min(n // (reach(n) + 1) for n in range(low, min(high, 4000)))
+        size = room - max(1, int(room * SPARE)) if room > 10 else room
+        out.append(Stretch(low, high, size, PIECE if size >= PIECE + 3 else SHORT_PIECE))
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _pieces_hashed(codes: np.ndarray, seed: int, size: int) -> np.ndarray:
+    """63-bit hashes of the pieces of `size` characters at every place."""
+    n = max(0, len(codes) - size + 1)
+    h = np.full(n, np.uint64(seed + 1))
+    for j in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n] + np.uint64(1)
+    return _mix(h) >> np.uint64(1)
+
+
+class Common:
+    """The common pieces; membership by a table of bits first."""
+
+    def __init__(self, pieces: list[int]):
+        self.sorted = np.array(sorted(pieces), dtype=np.uint64)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.sorted & np.uint64(len(self.bits) - 1)).astype(np.int64)] = True
+
+    def ordered(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes with those of common pieces after all others."""
+        if not len(self.sorted):
+            return hashes
+        maybe = np.nonzero(self.bits[(hashes & np.uint64(len(self.bits) - 1)).astype(np.int64)])[0]
+        at = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), len(self.sorted) - 1)
+        out = hashes.copy()
+        out[maybe[self.sorted[at] == hashes[maybe]]] |= np.uint64(1 << 63)
+        return out
+
+
+def _slices(starts: np.ndarray, ends: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, starts, ends) of about CHUNK characters together; a longer text comes in parts that overlap."""
+    held: list[tuple[int, int, int]] = []
+    total = 0
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        while True:
+            c = min(b, a + CHUNK)
+            held.append((i, a, c))
+            total += c - a
+            if total >= CHUNK:
+                yield tuple(np.array(x) for x in zip(*held, strict=True))
+                held, total = [], 0
+            if c == b:
+                break
+            a = c - overlap
+    if held:
+        yield tuple(np.array(x) for x in zip(*held, strict=True))
+
+
+def _gathered(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of the parts one after the other, part of each, place of each in `codes`)."""
+    sizes = ends - starts
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return codes[place], part, place
+
+
+Blocks = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sorted_blocks(found: list[Blocks]) -> Blocks:
+    """(texts, blocks, places from 0), in order of text, block and place."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    text, block, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((place, block, text))
+    return text[order], block[order], place[order]
+
+
+def blocks_of(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: Common) -> tuple[Blocks, Blocks]:
+    """The blocks to store and the blocks to look up of the texts codes[start:end]; a block may come several times in a text."""
+    lengths = ends - starts
+    stored: list[Blocks] = []
+    looked_up: list[Blocks] = []
+    whole = np.nonzero((lengths < CLASSES[0]) & (lengths > 0))[0]
+    for size in np.unique(lengths[whole]):
+        mine = whole[lengths[whole] == size]
+        text = codes[starts[mine][:, None] + np.arange(size)]
+        h = np.full(len(mine), np.uint64(size))
+        for j in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + text[:, j] + np.uint64(1)
+        for out in (stored, looked_up):
+            out.append((mine, _mix(h) >> np.uint64(1), np.zeros(len(mine), np.int64)))
+    needed = lengths // round(1 / EDIT_SHARE - 1) + 1
+    for c, kind in enumerate(stretches()):
+        # a stored text that agrees is shorter or longer than this one by all edits at most
+        mine = np.nonzero((lengths + needed - 1 >= kind.low) & (lengths - (lengths * EDIT_SHARE + 1e-9).astype(np.int64) < kind.high))[0]
+        free, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        chosen: list[Blocks] = []
+        grid: list[Blocks] = []
+        for texts, a, b in _slices(starts[mine], ends[mine], kind.size - 1):
+            texts = mine[texts]
+            chars, part, place = _gathered(codes, a, b)
+            order = common.ordered(_pieces_hashed(chars, c, kind.piece))
+            n = len(order) - kind.width + 1
+            if n <= 0:
+                continue
+            least = order[:n].copy()
+            for j in range(1, kind.width):
+                np.minimum(least, order[j : j + n], out=least)
+            at = np.zeros(n, np.int64)
+            for j in range(kind.width - 1, -1, -1):
+                hit = order[j : j + n] == least
+                at[hit] = np.nonzero(hit)[0] + j
+            inside = part[:n] == part[kind.size - 1 : kind.size - 1 + n]
+            own = np.unique(at[inside])
+            text = texts[part[own]]
+            looked_up.append((text, order[own], place[own] - starts[text]))
+            of = texts[part[:n]]
+            fits = (lengths >= kind.low) & (lengths < kind.high)
+            start = place[:n] - starts[of]
+            on_grid = np.nonzero(inside & fits[of] & (start % kind.size == 0))[0]
+            grid.append((of[on_grid], least[on_grid], place[at[on_grid]] - starts[of[on_grid]]))
+            # stretches from left to right, those of common pieces alone being passed over
+            telling = np.where(inside & (least < np.uint64(1 << 63)), np.arange(n), n)
+            following = np.minimum.accumulate(telling[::-1])[::-1].tolist()
+            sizes = b - a
+            first = np.cumsum(sizes) - sizes
+            picked: list[int] = []
+            for t, at0, size, from0 in zip(texts.tolist(), first.tolist(), sizes.tolist(), (a - starts[texts]).tolist(), strict=True):
+                if not fits[t]:
+                    continue
+                i, end, left = at0 + max(0, int(free[t]) - from0), min(n, at0 + size - kind.size + 1), int(needed[t] - count[t])
+                while left and i < end and (i := following[i]) < end:
+                    picked.append(i)
+                    i += kind.size
+                    left -= 1
+                free[t], count[t] = i - at0 + from0, needed[t] - left
+            p = np.array(picked, dtype=np.int64)
+            chosen.append((of[p], least[p], place[at[p]] - starts[of[p]]))
+        enough = count >= needed
+        stored += [tuple(x[enough[t]] for x in (t, *rest)) for t, *rest in chosen] + [tuple(x[~enough[t]] for x in (t, *rest)) for t, *rest in grid]
+    return _sorted_blocks(stored), _sorted_blocks(looked_up)
+
+
+def _ranges(blocks: Blocks, texts: int) -> pa.ListArray:
+    """For each text its blocks as structs of piece, first and last place."""
+    text, block, place = blocks
+    new = np.append(True, (text[1:] != text[:-1]) | (block[1:] != block[:-1]))[: len(text)]
+    heads = np.nonzero(new)[0]
+    tails = np.append(heads[1:], len(text)) - 1 if len(heads) else heads
+    offsets = np.searchsorted(text[heads], np.arange(texts + 1)).astype(np.int32)
+    pieces = pa.StructArray.from_arrays([pa.array(block[heads].view(np.int64)), pa.array(place[heads].astype(np.int32)), pa.array(place[tails].astype(np.int32))], names=["piece", "first", "last"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pieces)
+
+
+def parities(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bit-difference fingerprint of each text, WORDS longs."""
+    bits = 64 * WORDS
+    odd = np.zeros((len(starts), bits), np.uint8)
+    for texts, a, b in _slices(starts, ends, 1):
+        chars, part, _ = _gathered(codes, a, b)
+        pairs = (chars[:-1] * np.uint64(0x9E3779B97F4A7C15) + chars[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17)
+        inside = part[1:] == part[:-1]
+        counts = np.bincount(part[:-1][inside] * bits + (pairs[inside] % np.uint64(bits)).astype(np.int64), minlength=len(texts) * bits)
+        np.bitwise_xor.at(odd, texts, (counts & 1).astype(np.uint8).reshape(-1, bits))
+    return np.packbits(odd, axis=1).view(np.int64).reshape(len(starts), WORDS)
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts, starts, ends)."""
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, ends - lengths, ends
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that their texts have about CHUNK characters."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch.column(text)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
+def prepare(texts: DataFrame, common: list[int]) -> DataFrame:
+    """id, text, len, bits, stored, looked_up of texts (id, text): the fingerprint and the two lists of blocks, each block with its first and last place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Common(common)
+        for part in _in_parts(batches, 1):
+            n = part.num_rows
+            codes, starts, ends = _coded(part.column(1))
+            stored, looked_up = blocks_of(codes, starts, ends, known)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * WORDS, pa.int32()), pa.array(parities(codes, starts, ends).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((ends - starts).astype(np.int32)), bits, _ranges(stored, n), _ranges(looked_up, n)], names=["id", "text", "len", "bits", "stored", "looked_up"])
+
+    blocks = "array<struct<piece: bigint, first: int, last: int>>"
+    return texts.select("id", "text").mapInArrow(run, f"{TEXTS}, stored {blocks}, looked_up {blocks}")
+
+
+def common_pieces(texts: DataFrame) -> list[int]:
+    """At most MOST_COMMON hashes of the pieces that at least COMMON_SHARE of the texts hold.
+
+    A task passes on what is common in its parts, so a piece may be overlooked; that changes which blocks are chosen, never what is found.
+    """
 
-def with_fingerprint(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `bits`, the bit-difference fingerprint of the column `text`, as an array of longs."""
-    parity = F.pandas_udf(_parities, "array<bigint>")
-    return texts.withColumn("bits", parity(F.col(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(batches, 0):
+            codes, starts, ends = _coded(part.column(0))
+            keys, counts = [np.array([-1])], [np.array([part.num_rows])]
+            for c, kind in enumerate(stretches()):
+                mine = np.nonzero((ends - starts >= kind.low) & (ends - starts < kind.high))[0]
+                for texts, a, b in _slices(starts[mine], ends[mine], kind.piece - 1):
+                    chars, of, _ = _gathered(codes, a, b)
+                    hashed = _pieces_hashed(chars, c, kind.piece)
+                    n = len(hashed)
+                    inside = of[:n] == of[kind.piece - 1 : kind.piece - 1 + n]
+                    owner, hashed = texts[of[:n][inside]], hashed[inside]
+                    order = np.lexsort((owner, hashed))
+                    owner, hashed = owner[order], hashed[order]
+                    new = np.append(True, (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))[: len(hashed)]
+                    key, held = np.unique(hashed[new], return_counts=True)
+                    often = held >= max(3, COMMON_SHARE * part.num_rows)
+                    keys.append(key[often].view(np.int64))
+                    counts.append(held[often])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))], names=["piece", "n"])
+
+    counted = materialize(texts.select("text").mapInArrow(run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n")), "common")
+    total = counted.filter("piece = -1").agg(F.max("n")).first()[0] or 0
+    often = counted.filter((F.col("piece") >= 0) & (F.col("n") >= max(3.0, COMMON_SHARE * total)))
+    return [r["piece"] for r in often.orderBy(F.desc("n"), "piece").limit(MOST_COMMON).collect()]
 
 
 def hamming(a: str, b: str) -> Column:
@@ -65,131 +327,266 @@ def hamming(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WORDS)), F.lit(0))
 
 
-def _pieces_at(positions: Column, size: int) -> Column:
-    """Structs of place and hash of the pieces of `size` characters at these places (from 1)."""
-    return F.transform(positions, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.substring(F.col("text"), i, F.lit(size))).alias("piece")))
+def _old(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select(F.col("id").alias("old"), F.col("len").alias("old_len"), "piece", F.col("first").alias("old_first"), F.col("last").alias("old_last"), *more)
 
 
-def block_table(texts: DataFrame) -> DataFrame:
-    """id, len, pos, piece: for each text (id, text, len) as many of its disjoint pieces as edits are within reach, and one more, the rarest in these texts first.
+def _near() -> Column:
+    """Whether the lengths, and the places of the block, are as near as the edits allow, the old text being the earlier."""
+    k = most_edits(F.greatest("old_len", "len"))
+    return (F.col("old") < F.col("id")) & (F.abs(F.col("old_len") - F.col("len")) <= k) & (F.col("old_first") - k <= F.col("last")) & (F.col("first") - k <= F.col("old_last"))
 
-    Any choice of so many pieces finds every partner; the rarest find the fewest texts that aren't.
-    """
-    length = F.col("len")
-    long = _pieces_at(F.sequence(F.lit(1), length - LONG_PIECE + 1, F.lit(LONG_PIECE)), LONG_PIECE)
-    short = _pieces_at(F.sequence(F.lit(1), length - SHORT_PIECE + 1, F.lit(SHORT_PIECE)), SHORT_PIECE)
-    cut = texts.filter(edits_within_reach(length) > 0).select("id", "len", F.explode(F.when(length >= LONG_TEXT, long).otherwise(short)).alias("p")).select("id", "len", "p.pos", "p.piece")
-    common = cut.groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
-    weighed = cut.join(common, "piece", "left").groupBy("id", "len").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "piece"))).alias("all"))
-    return weighed.select("id", "len", F.explode(F.slice("all", F.lit(1), edits_within_reach(length) + 1)).alias("p")).select("id", "len", "p.pos", "p.piece")
-
-
-def probes(texts: DataFrame) -> DataFrame:
-    """id, len, pos, piece: all pieces of each text that could be stored for a partner, at every place."""
-    length = F.col("len")
-    every = lambda size: F.when(length >= size, _pieces_at(F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1))), size)).otherwise(F.array())
-    reach = edits_within_reach(length)
-    long = F.when(length + reach >= LONG_TEXT, every(LONG_PIECE)).otherwise(F.array())
-    short = F.when(length - reach < LONG_TEXT, every(SHORT_PIECE)).otherwise(F.array())
-    return texts.select("id", "len", F.explode(F.concat(long, short)).alias("p")).select("id", "len", "p.pos", "p.piece")
-
-
-def agreeing_pairs(stored: DataFrame, blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """old, new: the pairs of a stored and a new text (id, text, len, bits) that agree, the stored id being the smaller one."""
-    a, b = blocks.select(F.col("id").alias("old"), F.col("len").alias("old_len"), F.col("pos").alias("old_pos"), "piece"), probes(new)
-    longer = F.greatest("old_len", "len")
-    near = (F.abs(F.col("old_len") - F.col("len")) <= most_edits(longer)) & (F.abs(F.col("old_pos") - F.col("pos")) <= most_edits(longer))
-    met = b.join(a.hint("shuffle_hash"), "piece").filter((F.col("old") < F.col("id")) & near).select("old", F.col("id").alias("new")).distinct()
+
+def _verified(pairs: DataFrame, stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of the pairs (old, new) whose fingerprints and then texts are near enough; a pair of a text and itself is a mark and passed on."""
     left = stored.select(F.col("id").alias("old"), F.col("text").alias("old_text"), F.col("bits").alias("old_bits"))
     right = new.select(F.col("id").alias("new"), "text", "bits")
-    both = met.join(left, "old").join(right, "new")
+    both = pairs.distinct().join(left, "old", "left").join(right, "new")
     k = most_edits(F.greatest(F.length("old_text"), F.length("text")))
-    close = both.filter(hamming("old_bits", "bits") <= 4 * k)
-    return close.withColumn("edits", F.call_function("levenshtein", F.col("old_text"), F.col("text"), k)).filter(F.col("edits") >= 0).select("old", "new")
-
+    mark = F.col("old") == F.col("new")
+    close = both.filter(mark | (hamming("old_bits", "bits") <= 4 * k))
+    return close.filter(mark | (F.call_function("levenshtein", F.col("old_text"), F.col("text"), k) >= 0)).select("old", "new")
 
-def accept_in_order(pairs: DataFrame, given: DataFrame) -> DataFrame:
-    """new, matched: of the texts in `pairs` (old, new; old came first), those that agree with an accepted one and the first such.
 
-    given: one column `id`, the texts that are accepted whatever they agree with. A text that agrees with no accepted earlier one is
-    accepted. Each round decides all texts whose earlier partners are decided so far; there are as many rounds as the
-    longest chain of texts that depend on one another.
-    """
-    edges = pairs.join(given.select(F.col("id").alias("old"), F.lit(True).alias("sure")), "old", "left")
-    edges = materialize(edges.join(given.select(F.col("id").alias("new"), F.lit(True).alias("exempt")), "new", "left").select("old", "new", F.coalesce("sure", F.lit(False)).alias("sure"), F.coalesce("exempt", F.lit(False)).alias("exempt")), "edges")
-    # the texts whose acceptance is open: those with earlier partners
-    state = materialize(edges.filter("not exempt").groupBy("new").agg(F.when(F.bool_or("sure"), F.lit(False)).alias("accepted")), "state")
-    while not state.filter(F.col("accepted").isNull()).isEmpty():
-        known = edges.filter("not exempt").join(state.select(F.col("new").alias("old"), "accepted", F.lit(True).alias("listed")), "old", "left")
-        old_accepted = F.when(F.col("sure") | F.col("listed").isNull(), F.lit(True)).otherwise(F.col("accepted"))
-        decided = known.withColumn("o", old_accepted).groupBy("new").agg(F.bool_or(F.coalesce("o", F.lit(False))).alias("repeats"), F.bool_and(F.col("o").isNotNull()).alias("all_known"))
-        state = materialize(decided.select("new", F.when(F.col("repeats"), F.lit(False)).when(F.col("all_known"), F.lit(True)).alias("accepted")), "state")
-    refused = state.filter(~F.col("accepted")).select(F.col("new").alias("old"))
-    return edges.join(refused, "old", "left_anti").groupBy("new").agg(F.min("old").alias("matched"))
+def _rest(old: DataFrame, new: DataFrame, parts: int) -> DataFrame:
+    """old, new: the pairs that are left for blocks of many texts, the old ones of a block being spread over `parts` parts; none later than `best`."""
+    a = old.withColumn("part", F.pmod(F.xxhash64("old"), F.lit(parts)).cast("int"))
+    b = new.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return a.join(b, ["piece", "part"]).filter(_near() & (F.col("old") < F.coalesce("best", "id"))).select("old", F.col("id").alias("new"))
 
 
-def near_repeats(rows: DataFrame, text: str, arrival: str, batch: str) -> DataFrame:
-    """arrival, matched: the rows of later batches that agree with an accepted row of smaller arrival, and the smallest such.
+def pairs_with_history(pieces: DataFrame, texts: DataFrame, new_pieces: DataFrame, new_texts: DataFrame) -> DataFrame:
+    """old, new: pairs of a stored and a new text that agree; for every new text the one of the smallest `old` is among them.
 
-    rows: everything that has arrived, history (batch 0, all accepted) and later batches, to be taken in order of arrival. A later row
-    that agrees with no accepted one is accepted. Null and blank texts agree with nothing, nor do rows without an arrival or batch;
-    equal texts agree; repeated rows count once; an empty table gives an empty result; texts of any length are compared whole.
-
-    Each text is looked up against earlier ones only, through the block table; no history is compared with itself unless a later batch repeats it.
+    Blocks of more than HEAD stored texts: the earliest HEAD are compared first, then only those of the others that are earlier than the
+    partner found so far. So a crowd of texts that all agree with each other costs HEAD pairs a block and new text.
     """
-    clean = rows.select(F.col(text).alias("text"), F.col(arrival).cast("bigint").alias("arrival"), F.col(batch).cast("int").alias("batch")).filter(not_blank("text") & F.col("arrival").isNotNull() & F.col("batch").isNotNull())
-    texts = clean.groupBy("text").agg(F.min("arrival").alias("id"), F.min_by("batch", "arrival").alias("batch"), F.max("batch").alias("last_batch")).withColumn("len", F.length("text"))
-    texts = materialize(with_fingerprint(texts), "texts")
-    blocks = block_table(texts)
-    pairs = agreeing_pairs(texts, blocks, texts.filter("last_batch > 0"))
-    first = accept_in_order(pairs, texts.filter("batch = 0").select("id"))
-    later = clean.filter("batch > 0").select("text", "arrival").distinct()
-    placed = later.join(texts.select("text", "id"), "text").join(first.select(F.col("new").alias("id"), "matched"), "id", "left")
-    return placed.withColumn("matched", F.coalesce("matched", "id")).filter(F.col("matched") < F.col("arrival")).select("arrival", "matched")
-
-
-def exact_repeats(rows: DataFrame, keys: list[Column], arrival: str, batch: str) -> DataFrame:
-    """arrival, matched: the rows of later batches whose keys all equal those of an earlier row, and the smallest such arrival.
-
-    A row whose keys hold a null agrees with nothing; otherwise as near_repeats.
+    looked_up = pieces.join(new_pieces.select("piece"), "piece", "left_semi")
+    placed = looked_up.withColumn("place", F.row_number().over(Window.partitionBy("piece").orderBy("id"))).filter(F.col("place") <= HEAD + 1)
+    more = F.col("place") > HEAD
+    met = _old(placed, "place").join(new_pieces, "piece").filter(more | _near()).select(F.when(more, F.col("id")).otherwise(F.col("old")).alias("old"), F.col("id").alias("new"))
+    early = materialize(_verified(met, texts, new_texts), "pairs")
+    found, marked = early.filter("old <> new"), early.filter("old = new").select("new")
+    if marked.isEmpty():
+        return found
+    best = found.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("best"))
+    last = placed.filter(F.col("place") == HEAD + 1).select("piece", F.col("id").alias("from"))
+    rest = looked_up.join(last, "piece").filter(F.col("id") >= F.col("from")).drop("from")
+    waiting = new_pieces.join(marked.withColumnRenamed("new", "id"), "id", "left_semi").join(last.select("piece"), "piece", "left_semi").join(best, "id", "left")
+    return found.unionByName(materialize(_verified(_rest(_old(rest), waiting, default_partitions(pieces.sparkSession)), texts, new_texts), "pairs"))
+
+
+def pairs_within(stored: DataFrame, looked_up: DataFrame, texts: DataFrame) -> DataFrame:
+    """old, new: the pairs of these new texts that agree, except those that can't decide anything.
+
+    Where a block has more than HEAD texts, the texts that find no earlier one by any block are compared with all others to begin with: they
+    are accepted, and what agrees with them is refused, so that it is no partner of later ones.
     """
-    names = [f"k{i}" for i in range(len(keys))]
-    clean = rows.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.col(arrival).cast("bigint").alias("arrival"), F.col(batch).cast("int").alias("batch")).dropna()
-    first = clean.groupBy(*names).agg(F.min("arrival").alias("matched"))
-    return clean.filter("batch > 0").distinct().join(first, names).filter(F.col("matched") < F.col("arrival")).select("arrival", "matched").distinct()
+    long = stored.groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") > HEAD)
+    every = lambda old: _old(old).join(looked_up, "piece").filter(_near()).select("old", F.col("id").alias("new"))
+    if long.isEmpty():
+        return materialize(_verified(every(stored), texts, texts), "pairs")
+    first = stored.groupBy("piece").agg(F.min("id").alias("first_id"))
+    leaders = looked_up.join(first, "piece", "left").groupBy("id").agg(F.bool_and(F.coalesce(F.col("first_id") >= F.col("id"), F.lit(True))).alias("leads")).filter("leads").select("id")
+    leaders = materialize(leaders, "leaders")
+    led = materialize(_verified(every(stored.join(leaders, "id", "left_semi")), texts, texts), "pairs")
+    best = led.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("best"))
+    open_old = stored.join(best.select("id").union(leaders), "id", "left_anti")
+    met = _rest(_old(open_old), looked_up.join(best, "id", "left"), default_partitions(stored.sparkSession))
+    return led.unionByName(materialize(_verified(met, texts, texts), "pairs"))
+
+
+def accept_in_order(pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
+    """new, matched: of the texts in `pairs` (old, new; old came first; a written table), those that agree with an accepted one and the first such.
+
+    A text without earlier partners is accepted, and one that agrees with no accepted earlier one. Texts without open partners are decided in
+    rounds, each of which leaves fewer pairs; once `one_task` or fewer pairs are left, they are decided in order in one task.
+    """
+    open_pairs, refused = pairs, []
+    while open_pairs.count() > one_task:
+        accepted = open_pairs.select(F.col("old").alias("id")).distinct().join(open_pairs.select(F.col("new").alias("id")), "id", "left_anti")
+        out = materialize(open_pairs.join(accepted.withColumnRenamed("id", "old"), "old", "left_semi").select("new").distinct(), "refused")
+        refused.append(out)
+        open_pairs = materialize(open_pairs.join(out, "new", "left_anti").join(out.select(F.col("new").alias("old")), "old", "left_anti").select("old", "new"), "edges")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
+        edges = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        gone: set[int] = set()
+        for old, new in edges[np.lexsort((edges[:, 0], edges[:, 1]))].tolist():
+            if old not in gone:
+                gone.add(new)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], names=["new"])
+
+    every = open_pairs.coalesce(1).mapInArrow(decide, "new bigint")
+    for part in refused:
+        every = every.unionByName(part)
+    return pairs.join(every.select(F.col("new").alias("old")), "old", "left_anti").groupBy("new").agg(F.min("old").alias("matched"))
+
+
+@dataclass(frozen=True)
+class Ready:
+    """A batch before matching: rows (text, arrival), texts (one row each, by the earliest arrival) and their blocks."""
+
+    rows: DataFrame
+    texts: DataFrame
+    stored: DataFrame
+    looked_up: DataFrame
+    placed: bool
 
 
 @dataclass
 class TextHistory:
-    """Accepted texts in a folder, to which batches are added one at a time.
+    """Accepted texts in a folder, to which batches are added one at a time, in order.
 
-    The folder holds one subfolder of `texts` (id, text, len, bits) and one of `blocks` (id, len, pos, piece) per batch; a
-    batch is looked up in the blocks of all earlier ones and appends only its own accepted texts. Nothing written is
-    rewritten, so a batch whose job failed can be added again.
+    `texts` and `pieces` are bucketed tables (by id and by block) partitioned by batch: a batch is shuffled to the buckets and joined
+    there, the history isn't moved. A batch appends only its own accepted texts. `found/batch=n`, written last, holds what the
+    batch repeats and says that it is complete; a batch reads only complete batches before it and overwrites only its own
+    parts, so adding one again, after a failure or not, changes nothing. Blocks are chosen by the pieces that are common in
+    the first batch (`common`), which are kept with the history.
     """
 
     spark: SparkSession
     folder: str
+    buckets: int | None = None
+    _common: list[int] | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        tag = uuid.uuid4().hex
+        self._texts, self._pieces = (f"waxmill_{x}_{tag}" for x in ("texts", "pieces"))
+        self._own = [self._texts, self._pieces]
+        if self._complete("common"):
+            row = self.spark.read.parquet(f"{self.folder}/common").first()
+            self._common, self.buckets = list(row["pieces"]), row["buckets"]
+        else:
+            self.buckets = self.buckets or max(8, default_partitions(self.spark))
+        for name, schema, key, part in ((self._texts, TEXTS, "id", "texts"), (self._pieces, PIECES, "piece", "pieces")):
+            self.spark.sql(f"CREATE TABLE {name} ({schema}, batch int) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{part}'")
+            if self._paths(f"{part}/batch=*"):
+                self.spark.catalog.recoverPartitions(name)
+
+    def close(self) -> None:
+        """Forget the tables' names; the folder stays."""
+        for name in self._own:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _paths(self, pattern: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return [str(s.getPath().getParent().getName()) for s in found or []]
+
+    def _complete(self, part: str) -> bool:
+        return bool(self._paths(f"{part}/_SUCCESS"))
+
+    def batches(self) -> list[int]:
+        """The complete batches."""
+        return sorted(int(p.removeprefix("batch=")) for p in self._paths("found/batch=*/_SUCCESS"))
+
+    def _insert(self, df: DataFrame, table: str, key: str, batch_no: int, bucketed: bool = False) -> None:
+        placed = df if bucketed else df.repartition(self.buckets, key)
+        view = f"{table}_batch"
+        placed.createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch = {int(batch_no)}) SELECT * FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def ready(self, rows: DataFrame, text: str, arrival: str, placed: bool = True) -> Ready:
+        """A batch made ready for matching: its texts with fingerprints and blocks, the blocks placed in buckets where they will be looked up. Batches may be made ready ahead."""
+        clean = rows.select(F.col(text).alias("text"), F.col(arrival).cast("bigint").alias("arrival")).filter(not_blank("text") & F.col("arrival").isNotNull())
+        texts = clean.groupBy("text").agg(F.min("arrival").alias("id"))
+        if self._common is None:
+            texts = materialize(texts, "texts")
+            self._common = common_pieces(texts)
+            self.spark.createDataFrame([(self._common, self.buckets)], "pieces array<bigint>, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/common")
+        new = materialize(prepare(texts, self._common), "batch")
+        blocks = {name: new.select("id", "len", F.explode(name).alias("p")).select("id", "len", "p.*") for name in ("stored", "looked_up")}
+        if placed:
+            tag = uuid.uuid4().hex
+            for name, pieces in blocks.items():
+                table = f"waxmill_{name}_{tag}"
+                pieces.repartition(self.buckets, "piece").write.format("parquet").bucketBy(self.buckets, "piece").option("path", scratch_path(self.spark, "pieces")).saveAsTable(table)
+                self._own.append(table)
+                blocks[name] = self.spark.table(table)
+        return Ready(clean, new.select("id", "text", "len", "bits"), blocks["stored"], blocks["looked_up"], placed)
 
     def add(self, batch_no: int, rows: DataFrame, text: str, arrival: str) -> DataFrame:
         """Match the batch's rows, append the accepted ones, and return arrival, matched of the others.
 
-        Batches must be added in order, starting with 0, the rows of which are all accepted.
+        Batches must be added in order, starting with 0, the rows of which are all accepted. Null and blank texts agree with nothing,
+        nor do rows without an arrival; equal texts agree; repeated rows count once; texts of any length are compared whole.
         """
-        clean = materialize(with_fingerprint(rows.select(F.col(text).alias("text"), F.col(arrival).cast("bigint").alias("arrival")).filter(not_blank("text") & F.col("arrival").isNotNull()).groupBy("text").agg(F.min("arrival").alias("id"), F.collect_set("arrival").alias("arrivals")).withColumn("len", F.length("text"))), "batch")
-        own = clean.select("id", "text", "len", "bits")
+        return self.match(batch_no, self.ready(rows, text, arrival, placed=batch_no > 0))
+
+    def match(self, batch_no: int, batch: Ready) -> DataFrame:
+        """add for a batch that is ready."""
+        earlier = [b for b in self.batches() if b < batch_no]
+        own, stored, looked_up = batch.texts, batch.stored, batch.looked_up
         if batch_no == 0:
-            found = self.spark.createDataFrame([], "new bigint, matched bigint")
-            blocks, same = block_table(own), self.spark.createDataFrame([], "id bigint, first bigint")
+            self._write_all(self.spark, lambda: self._insert(stored, self._pieces, "piece", 0, batch.placed), lambda: self._insert(own, self._texts, "id", 0))
+            found = self.spark.createDataFrame([], "arrival bigint, matched bigint")
         else:
-            old = self.spark.read.parquet(f"{self.folder}/texts/*")
-            same = clean.select("id", "text").join(old.select("text", F.col("id").alias("first")), "text").select("id", "first")
-            pairs = agreeing_pairs(old, self.spark.read.parquet(f"{self.folder}/blocks/*"), own).unionByName(same.select(F.col("first").alias("old"), F.col("id").alias("new"))).distinct()
-            blocks = block_table(own)
-            found = accept_in_order(pairs.unionByName(agreeing_pairs(own, blocks, own)), old.select("id"))
-        found = materialize(found, "found")
-        fresh = own.join(found.select(F.col("new").alias("id")), "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/texts/batch={batch_no}")
-        blocks.join(found.select(F.col("new").alias("id")), "id", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/blocks/batch={batch_no}")
-        every = clean.select("id", F.explode("arrivals").alias("arrival")).join(found.select(F.col("new").alias("id"), "matched"), "id", "left").withColumn("matched", F.coalesce("matched", "id"))
-        return every.filter((F.col("matched") < F.col("arrival")) & F.lit(batch_no > 0)).select("arrival", "matched")
+            known = self.spark.createDataFrame([], "new bigint, matched bigint")
+            if earlier:
+                there = F.col("batch").isin(earlier)
+                old_pieces, old_texts = (self.spark.table(t).filter(there).drop("batch") for t in (self._pieces, self._texts))
+                known = pairs_with_history(old_pieces, old_texts, looked_up, own).groupBy("new").agg(F.min("old").alias("matched"))
+            gone = known.select(F.col("new").alias("id"))
+            among = accept_in_order(pairs_within(stored.join(gone, "id", "left_anti"), looked_up.join(gone, "id", "left_anti"), own))
+            refused = materialize(known.unionByName(among), "refused")
+            gone = refused.select(F.col("new").alias("id"))
+            self._write_all(
+                self.spark,
+                lambda: self._insert(stored.join(gone, "id", "left_anti"), self._pieces, "piece", batch_no, batch.placed),
+                lambda: self._insert(own.join(gone, "id", "left_anti"), self._texts, "id", batch_no),
+            )
+            of_text = own.select(F.md5("text").alias("digest"), "id").join(refused.withColumnRenamed("new", "id"), "id", "left").select("digest", F.coalesce("matched", "id").alias("matched"))
+            found = batch.rows.select(F.md5("text").alias("digest"), "arrival").distinct().join(of_text, "digest").filter(F.col("matched") < F.col("arrival")).select("arrival", "matched")
+        target = f"{self.folder}/found/batch={int(batch_no)}"
+        found.write.mode("overwrite").parquet(target)
+        return self.spark.read.schema(found.schema).parquet(target)
+
+    @staticmethod
+    def _write_all(spark: SparkSession, *writes: Callable[[], None]) -> None:
+        """Run the writes, which don't depend on each other, at the same time; an error of any is raised."""
+        with ThreadPoolExecutor(len(writes)) as pool:
+            for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in writes]:
+                done.result()
+
+
+def near_repeats(rows: DataFrame, text: str, arrival: str, batch: str) -> DataFrame:
+    """arrival, matched: the rows of later batches that agree with an accepted row of smaller arrival, and the smallest such.
+
+    rows: everything that has arrived, history (batch 0, all accepted) and later batches, of which there may be some thousands; they are
+    added to a `TextHistory` one after the other. A later row that agrees with no accepted one is accepted. Rows without a
+    batch are left out; for nulls, blanks and repeated rows see TextHistory.add. An empty table gives an empty result.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "arrived")
+    kept = rows.select(F.col(text).alias("text"), F.col(arrival).cast("bigint").alias("arrival"), F.col(batch).cast("int").alias("batch"))
+    kept.filter(not_blank("text") & F.col("arrival").isNotNull() & F.col("batch").isNotNull()).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    arrived = spark.read.schema("text string, arrival bigint, batch int").parquet(path)
+    history = TextHistory(spark, scratch_path(spark, "history"))
+    found = spark.createDataFrame([], "arrival bigint, matched bigint")
+    numbers = [r["batch"] for r in arrived.select("batch").distinct().orderBy("batch").collect()]
+    of = lambda b: arrived.filter(F.col("batch") == b)
+    if numbers:
+        part = history.add(numbers[0], of(numbers[0]), "text", "arrival")
+        found = part if numbers[0] else found
+    # the next batches are made ready while one is matched
+    with ThreadPoolExecutor(AHEAD) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(history.ready), of(b), "text", "arrival") for b in numbers[1:]]
+        for b, ready in zip(numbers[1:], waiting, strict=True):
+            found = found.unionByName(history.match(b, ready.result()))
+    history.close()
+    return found
+
+
+def exact_repeats(rows: DataFrame, keys: list[Column], arrival: str, batch: str) -> DataFrame:
+    """arrival, matched: the rows of later batches whose keys all equal those of an earlier row, and the smallest such arrival.
+
+    A row whose keys hold a null agrees with nothing; otherwise as near_repeats.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    clean = rows.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.col(arrival).cast("bigint").alias("arrival"), F.col(batch).cast("int").alias("batch")).dropna()
+    first = clean.groupBy(*names).agg(F.min("arrival").alias("matched"))
+    return clean.filter("batch > 0").distinct().join(first, names).filter(F.col("matched") < F.col("arrival")).select("arrival", "matched").distinct()
