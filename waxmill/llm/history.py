@@ -376,23 +376,26 @@ def pairs_with_history(pieces: DataFrame, texts: DataFrame, new_pieces: DataFram
     return found.unionByName(materialize(_verified(_rest(_old(rest), waiting, default_partitions(pieces.sparkSession)), texts, new_texts), "pairs"))
 
 
-def pairs_within(stored: DataFrame, looked_up: DataFrame, texts: DataFrame) -> DataFrame:
-    """old, new: the pairs of these new texts that agree, except those that can't decide anything.
+def pairs_within(stored: DataFrame, looked_up: DataFrame, texts: DataFrame, refused: DataFrame) -> DataFrame:
+    """old, new: the pairs of a batch's texts that agree, except those that can't decide anything, and those of texts refused already (id).
 
     Where a block has more than HEAD texts, the texts that find no earlier one by any block are compared with all others to begin with: they
     are accepted, and what agrees with them is refused, so that it is no partner of later ones.
     """
+    open_new = looked_up.join(refused, "id", "left_anti")
+    every = lambda old: _old(old).join(open_new, "piece").filter(_near()).select("old", F.col("id").alias("new"))
     long = stored.groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") > HEAD)
-    every = lambda old: _old(old).join(looked_up, "piece").filter(_near()).select("old", F.col("id").alias("new"))
     if long.isEmpty():
-        return materialize(_verified(every(stored), texts, texts), "pairs")
-    first = stored.groupBy("piece").agg(F.min("id").alias("first_id"))
-    leaders = looked_up.join(first, "piece", "left").groupBy("id").agg(F.bool_and(F.coalesce(F.col("first_id") >= F.col("id"), F.lit(True))).alias("leads")).filter("leads").select("id")
+        met = every(stored).distinct().join(refused.withColumnRenamed("id", "old"), "old", "left_anti")
+        return materialize(_verified(met, texts, texts), "pairs")
+    open_old = stored.join(refused, "id", "left_anti")
+    first = open_old.groupBy("piece").agg(F.min("id").alias("first_id"))
+    leaders = open_new.join(first, "piece", "left").groupBy("id").agg(F.bool_and(F.coalesce(F.col("first_id") >= F.col("id"), F.lit(True))).alias("leads")).filter("leads").select("id")
     leaders = materialize(leaders, "leaders")
-    led = materialize(_verified(every(stored.join(leaders, "id", "left_semi")), texts, texts), "pairs")
+    led = materialize(_verified(every(open_old.join(leaders, "id", "left_semi")), texts, texts), "pairs")
     best = led.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("best"))
-    open_old = stored.join(best.select("id").union(leaders), "id", "left_anti")
-    met = _rest(_old(open_old), looked_up.join(best, "id", "left"), default_partitions(stored.sparkSession))
+    still_open = open_old.join(best.select("id").union(leaders), "id", "left_anti")
+    met = _rest(_old(still_open), open_new.join(best, "id", "left"), default_partitions(stored.sparkSession))
     return led.unionByName(materialize(_verified(met, texts, texts), "pairs"))
 
 
@@ -529,9 +532,8 @@ class TextHistory:
             if earlier:
                 there = F.col("batch").isin(earlier)
                 old_pieces, old_texts = (self.spark.table(t).filter(there).drop("batch") for t in (self._pieces, self._texts))
-                known = pairs_with_history(old_pieces, old_texts, looked_up, own).groupBy("new").agg(F.min("old").alias("matched"))
-            gone = known.select(F.col("new").alias("id"))
-            among = accept_in_order(pairs_within(stored.join(gone, "id", "left_anti"), looked_up.join(gone, "id", "left_anti"), own))
+                known = materialize(pairs_with_history(old_pieces, old_texts, looked_up, own).groupBy("new").agg(F.min("old").alias("matched")), "known")
+            among = accept_in_order(pairs_within(stored, looked_up, own, known.select(F.col("new").alias("id"))))
             refused = materialize(known.unionByName(among), "refused")
             gone = refused.select(F.col("new").alias("id"))
             self._write_all(
