@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+#: Folders made under a checkpoint folder by this process, with their sessions.
+_SCRATCH: dict[str, SparkSession] = {}
 
 
 def build_session(app: str = "waxmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,27 +34,59 @@ def build_session(app: str = "waxmill", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only where that is unset (tests, one machine) is a temporary folder made."""
+    """The shared folder named by spark.checkpoint.dir. Only where that is unset and all work is done in this process is a temporary folder made.
+
+    Anywhere else executors would write to disks of their own, so that an error is raised.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="waxmill-checkpoint-")
     return _OWN_DIRS[app]
 
 
+def remove_scratch(*paths: str) -> None:
+    """Delete these scratch folders, or all that this process has made; what reads them can't be computed again."""
+    for path in paths or tuple(_SCRATCH):
+        spark = _SCRATCH.pop(path, None)
+        # the session may have ended
+        with suppress(Exception):
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes at its end what was written inside it under the checkpoint folder; results must have been written or collected by then."""
+    before = set(_SCRATCH)
+    try:
+        yield
+    finally:
+        made = set(_SCRATCH) - before
+        if made:
+            remove_scratch(*made)
+
+
 @atexit.register
-def _remove_own_dirs() -> None:
+def _clean_up() -> None:
     import shutil
 
+    if _SCRATCH:
+        remove_scratch()
     for path in _OWN_DIRS.values():
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"waxmill-{tag}-{uuid.uuid4().hex}")
+    """A fresh folder name under the shared checkpoint folder; deleted when the process ends, or the `scratch_scope` around it."""
+    path = os.path.join(checkpoint_dir(spark), f"waxmill-{tag}-{uuid.uuid4().hex}")
+    _SCRATCH[path] = spark
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
