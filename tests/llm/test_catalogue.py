@@ -39,14 +39,59 @@ def test_precedence_decides_where_times_are_missing(spark):
     cases = [("a", None, "done", 1), ("a", None, "new", 2), ("b", None, "seen", 1), ("b", 1, "new", 2), ("c", 5, "new", 1), ("c", 5, "seen", 2), ("c", None, "done", 3), ("d", None, "never", 1), ("d", None, "new", 2), ("e", 1, "new", 9), ("e", 1, "new", 9), (None, 1, "new", 0)]
     df = versions(spark, learned + cases)
     precedence = learn_precedence(df, "path", "ts", ["state"])
-    assert precedence.levels["state"] == {"new": 0, "seen": 1, "done": 2}
+    assert precedence.later["state"] == {"new": {"seen", "done"}, "seen": {"done"}}
     got = {r["path"]: (r["state"], r["n"]) for r in current_versions(df, "path", "ts", {"state": F.col("state")}).collect()}
+    # "never" and "new" are incomparable: both are latest, and the row with the larger values is taken
     assert {k: got[k] for k in "abcde"} == {"a": ("done", 1), "b": ("new", 2), "c": ("seen", 2), "d": ("new", 2), "e": ("new", 9)}
     assert got["odd"] == ("seen", 0)
     assert None not in got
     assert current_versions(df.limit(0), "path", "ts", {"state": F.col("state")}).count() == 0
 
 
+def test_nothing_is_learned_without_ties(spark, monkeypatch):
+    monkeypatch.setattr("waxmill.llm.currency.learn_precedence", lambda *a: 1 / 0)
+    df = versions(spark, [("a", None, "x", 1), ("a", None, "x", 1), ("a", 1, "y", 2), ("b", None, "z", 3)])
+    assert sorted(tuple(r)[::2] for r in current_versions(df, "path", "ts", {"state": F.col("state")}).collect()) == [("a", "y"), ("b", "z")]
+
+
+def plain_current(rows, follows):
+    """rows: (path, ts, format, size, date of the text); follows: per field the set of (earlier, later)."""
+    out = {}
+    for path in {r[0] for r in rows}:
+        mine = {r for r in rows if r[0] == path}
+        top = max((r[1] is not None, r[1] or 0) for r in mine)
+        mine = [r for r in mine if (r[1] is not None, r[1] or 0) == top]
+        latest = {}
+        for f in (2, 3):
+            kind = lambda r: r[f] if f == 2 else str(r[f] is not None).lower()  # noqa: B023, E731
+            best = [r for r in mine if not any((kind(r), kind(o)) in follows[f] for o in mine)]
+            latest[f] = {r[f] for r in best}
+        out[path] = latest
+    return out
+
+
+def test_fields_of_undated_versions(spark):
+    """Planted: precedence decides format and size, field by field, also against each other and in a group of thousands."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        path = f"dated{i}"
+        rows += [(path, 1, "wav", None), (path, 2, "flac", 100 + i), (path, 3, "mp3" if i % 2 else "m4a", 200 + i)]
+    tied = [("t0", None, "wav", 5), ("t0", None, "flac", None), ("t1", 7, "flac", None), ("t1", 7, "wav", 9), ("t1", 3, "mp3", 1), ("t2", None, "mp3", 3), ("t2", None, "m4a", 3), ("t3", None, "wav", None), ("t3", None, "wav", None)]
+    tied += [("hot", None, rnd.choice(["wav", "flac"]), rnd.choice([None, 1])) for _ in range(3000)]
+    df = versions(spark, [(p, t, f, n) for p, t, f, n in rows + tied])
+    states = {"state": F.col("state"), "n": F.col("n").isNotNull()}
+    got = {r["path"]: r for r in current_versions(df, "path", "ts", states).collect()}
+    follows = {2: {("wav", "flac"), ("flac", "mp3"), ("flac", "m4a"), ("wav", "mp3"), ("wav", "m4a")}, 3: {("false", "true")}}
+    want = plain_current(rows + tied, follows)
+    assert set(got) == set(want)
+    assert all(got[p]["state"] in w[2] and got[p]["n"] in w[3] for p, w in want.items())
+    assert {p: (got[p]["state"], got[p]["n"]) for p in ("t0", "t1", "hot")} == {"t0": ("flac", 5), "t1": ("flac", 9), "hot": ("flac", 1)}
+    # incomparable: the row is taken as a whole
+    assert got["t2"]["state"] in ("mp3", "m4a")
+    assert len(got) == len(current_versions(df, "path", "ts", states).collect())
+
+
 def test_best_field_by_field(spark):
     rows = [("g", "b", 1.0, None), ("g", "a", 1.0, None), ("g", "c", None, "x"), ("one", "d", 1.0, "x"), ("none", "e", None, None), ("none", "f", None, None), (None, "h", 1.0, "x"), (None, "i", 1.0, "x")]
     hot = [("hot", f"k{i:05d}", float(i % 7), "x" if i == 77 else None) for i in range(3000)]
@@ -81,6 +126,18 @@ def test_top_n_as_plain(spark, seed):
     assert got == plain_top(rows, 3)
 
 
+def test_thresholds_drop_items_before_the_shuffle(spark):
+    """A group of most items is cut by its threshold where it is read, and ranking starts before the shuffle."""
+    hot = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 9000)).alias("album"), F.col("id").cast("string").alias("item"), (F.xxhash64("id") % 997).cast("double").alias("score"), F.lit("t").alias("path"))
+    found = top_n(hot, "album", "item", "score", "path", 3)
+    got = {(r["album"], r["rank_no"], r["item"]) for r in found.collect()}
+    assert got == plain_top([tuple(r) for r in hot.collect()], 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    partial, exchange, join = (initial.index(x) for x in ("3, Partial", "Exchange hashpartitioning(g", "BroadcastHashJoin"))
+    assert exchange < partial < join
+
+
 def test_top_n_of_nothing(spark):
     assert top_n(spark.createDataFrame([], "a string, b string, c double, d string"), "a", "b", "c", "d", 3).count() == 0
 

@@ -29,7 +29,10 @@ def format_class(fmt: Column) -> Column:
 
 
 def current_files(files: DataFrame, *columns: str) -> DataFrame:
-    """The current row of every path, with canonical ids, usable values and the columns asked for."""
+    """The current row of every path, with canonical ids, usable values and the columns asked for.
+
+    Where the latest versions share their time or have none, each field has its topologically latest value (see currency).
+    """
     rows = files.select(
         valid_path("path").alias("path"),
         canonical_id("acoustid_id").alias("acoustid_id"),
@@ -43,10 +46,10 @@ def current_files(files: DataFrame, *columns: str) -> DataFrame:
     states = {
         "processed": F.coalesce(F.col("processed").cast("string"), F.lit("")),
         "format": F.coalesce(F.col("format"), F.lit("")),
-        "size": F.col("file_size").isNotNull(),
-        "score": F.col("quality_score").isNotNull(),
-        "identity": F.col("acoustid_id").isNotNull(),
-        "album": F.col("album_id").isNotNull(),
+        "file_size": F.col("file_size").isNotNull(),
+        "quality_score": F.col("quality_score").isNotNull(),
+        "acoustid_id": F.col("acoustid_id").isNotNull(),
+        "album_id": F.col("album_id").isNotNull(),
     }
     return current_versions(rows, "path", "date_modified", states).select("path", "date_modified", *columns)
 
