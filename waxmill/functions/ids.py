@@ -35,7 +35,7 @@ def valid_path(c: Column | str) -> Column:
 
 def canonical_id(c: Column | str) -> Column:
     """32 hexadecimal digits in lower case as 8-4-4-4-12, whatever their case, hyphens, braces and blanks around them; null for anything else and for 32 zeros."""
-    digits = F.translate(F.lower(F.btrim(col(c), F.lit(BLANKS + "{}"))), "-", "")
+    digits = F.replace(F.lower(F.btrim(col(c), F.lit(BLANKS + "{}"))), F.lit("-"), F.lit(""))
     dashed = F.concat_ws("-", *(F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return F.when(digits.rlike("^[0-9a-f]{32}$") & (digits != ZERO_ID), dashed)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waxmill.session import materialize
+
 #: A key with at least this share of the rows is treated as heavy; there can be at most 1/ROW_SHARE of them.
 ROW_SHARE = 0.002
 
@@ -28,18 +30,29 @@ def heavy_keys(df: DataFrame, key: str, row_share: float = ROW_SHARE) -> DataFra
     return spark.createDataFrame(rows, df.select(F.col(key)).schema)
 
 
+def _owned(df: DataFrame, key: str, owner: str) -> DataFrame:
+    """key and the owner as 128 bits of its hash (a, b), written once so that expressions for keys and owners are not computed in every pass; rows without an owner left out."""
+    pairs = df.select(F.col(key).alias("key"), F.col(owner).alias("owner")).filter(F.col("owner").isNotNull())
+    # chained hashes: with the constant first, the second doesn't follow from the first
+    return materialize(pairs.select("key", F.xxhash64("owner").alias("a"), F.xxhash64(F.lit(1), "owner").alias("b")), "owned")
+
+
+def _counted(owned: DataFrame, row_share: float) -> DataFrame:
+    pairs = owned.filter(F.col("key").isNotNull())
+    heavy = F.broadcast(heavy_keys(pairs, "key", row_share))
+    hot = pairs.join(heavy, "key", "left_semi").dropDuplicates(["key", "a", "b"])
+    cold = pairs.join(heavy, "key", "left_anti").repartition("key").dropDuplicates(["key", "a", "b"])
+    counted = [part.groupBy("key").agg(F.count("*").alias("owners")) for part in (hot, cold)]
+    return counted[0].unionByName(counted[1])
+
+
 def distinct_owner_counts(df: DataFrame, key: str, owner: str, row_share: float = ROW_SHARE) -> DataFrame:
-    """key, owners: the exact number of distinct owners of every key.
+    """key, owners: the number of distinct owners of every key, told apart by 128 bits of hash.
 
     Rows whose key or owner is null are left out; repeated rows count once; an empty table gives an empty result; other
     columns of df are ignored, whatever their names.
     """
-    pairs = df.select(F.col(key).alias("key"), F.col(owner).alias("owner")).filter(F.col("key").isNotNull() & F.col("owner").isNotNull())
-    heavy = F.broadcast(heavy_keys(pairs, "key", row_share))
-    hot = pairs.join(heavy, "key", "left_semi").dropDuplicates(["key", "owner"])
-    cold = pairs.join(heavy, "key", "left_anti").repartition("key").dropDuplicates(["key", "owner"])
-    counted = [part.groupBy("key").agg(F.count("*").alias("owners")) for part in (hot, cold)]
-    return counted[0].unionByName(counted[1]).withColumnRenamed("key", key)
+    return _counted(_owned(df, key, owner), row_share).withColumnRenamed("key", key)
 
 
 def widespread_keys(df: DataFrame, key: str, owner: str, share: float, row_share: float = ROW_SHARE) -> DataFrame:
@@ -47,7 +60,8 @@ def widespread_keys(df: DataFrame, key: str, owner: str, share: float, row_share
 
     Owners of rows with a null key count among all owners.
     """
-    total = df.select(F.col(owner).alias("owner")).filter(F.col("owner").isNotNull()).agg(F.count_distinct("owner").alias("all_owners"))
-    counted = distinct_owner_counts(df, key, owner, row_share)
+    owned = _owned(df, key, owner)
+    total = owned.select("a", "b").distinct().agg(F.count("*").alias("all_owners"))
     # one row of totals
-    return counted.join(F.broadcast(total), F.col("owners") >= F.col("all_owners") * F.lit(share), "inner")
+    found = _counted(owned, row_share).join(F.broadcast(total), F.col("owners") >= F.col("all_owners") * F.lit(share), "inner")
+    return found.withColumnRenamed("key", key)
