@@ -1,16 +1,18 @@
 """Packing, mixing and subjects on awkward texts."""
 
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waxmill.llm import subjects as S
-from waxmill.llm.mixing import Target, mix, source_name
+from waxmill.llm.mixing import Target, mix, source_name, tilted_rates
 from waxmill.llm.packing import Plan, containers, make_plan, pack, reduce_dominated
 from waxmill.llm.queries import QUERIES
 from waxmill.llm.tokens import DEFAULT_RANKS, count, encoding, parts
@@ -145,6 +147,71 @@ def test_mix(spark, encoder):
     assert [r[0] for r in names.coalesce(1).select(source_name(F.col("s"))).collect()] == ["a_b_c", "a_b_c", "", ""]
 
 
+def by_bisection(tokens, wanted, most):
+    """Rates of single documents, by halving an interval of the multiplier."""
+    low, high = -50.0, 50.0
+    rates = lambda x: [min(most, math.exp(min(700, x * t))) for t in tokens]
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(r * t for r, t in zip(rates(middle), tokens, strict=True)) < wanted else (low, middle)
+    return rates(low), low
+
+
+def divergence(rates):
+    """Relative entropy to using every document once."""
+    return sum(r * math.log(r) - r + 1 if r else 1.0 for r in rates)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tilted_rates_solve_the_dual(seed):
+    rnd = random.Random(seed)
+    tokens = [rnd.choice([1, 2, 5, 9, 30]) for _ in range(40)]
+    most = rnd.choice([1, 2, 5])
+    wanted = rnd.uniform(0.05, 0.95) * most * sum(tokens)
+    counts = sorted(Counter(tokens).items())
+    rate, multiplier, steps = tilted_rates(np.array([float(n) for _, n in counts]), np.array([float(t * n) for t, n in counts]), wanted, most)
+    of = dict(zip((t for t, _ in counts), rate, strict=True))
+    mine = [float(of[t]) for t in tokens]
+    plain, x = by_bisection(tokens, wanted, most)
+    assert max(abs(a - b) for a, b in zip(mine, plain, strict=True)) < 1e-6
+    assert abs(multiplier - x) < 1e-6 and steps < 60
+    assert abs(sum(r * t for r, t in zip(mine, tokens, strict=True)) - wanted) < 1e-6 * wanted
+    # moving tokens from one document to another only takes the rates farther from the base
+    for _ in range(200):
+        i, j = rnd.sample(range(len(tokens)), 2)
+        moved = list(mine)
+        step = rnd.uniform(0, 0.05)
+        moved[i] += step / tokens[i]
+        moved[j] -= step / tokens[j]
+        if moved[i] <= most and moved[j] >= 0:
+            assert divergence(moved) >= divergence(mine) - 1e-9
+
+
+def test_rates_at_their_limits():
+    n, t = np.array([3.0, 1.0]), np.array([6.0, 50.0])
+    assert tilted_rates(n, t, 0.0, 2)[0].tolist() == [0, 0]
+    assert tilted_rates(n, t, 112.0, 2)[0].tolist() == [2, 2]
+    assert tilted_rates(n, t, 56.0, 2)[1] == 0
+
+
+def test_long_documents_are_tilted(spark):
+    """A source that must shrink gives up its long documents first, one that must grow repeats them first."""
+    rnd = random.Random(7)
+    rows = [(1000 * k + i, " ".join(rnd.choices(["record", "band", "song", "tape"], k=rnd.choice([5, 50]))) + f" {k} {i}", s) for k, s in enumerate(("wide", "narrow")) for i in range(600 if k == 0 else 200)]
+    df = spark.createDataFrame(rows, "doc long, body string, src string")
+    selection, shares = mix(df, "doc", "body", "src", {"wide": Target(0.5, 1), "narrow": Target(0.5, 4)}, total=20_000)
+    got = {r["source"]: r for r in shares.collect()}
+    assert got["wide"]["available_tokens"] > 10_000 > got["narrow"]["available_tokens"]
+    assert all(abs(r["reached_share"] - 0.5) < 0.003 for r in got.values())
+    used = Counter()
+    for r in selection.collect():
+        used[r["source"], r["tokens"] > 25] += r["copies"]
+    there = Counter((s, len(t.split()) > 25) for _, t, s in rows)
+    rate = {k: used[k] / n for k, n in there.items()}
+    assert rate["wide", False] > rate["wide", True] + 0.2
+    assert rate["narrow", True] > rate["narrow", False] + 0.2
+
+
 def sentences_of(text, notices=()):
     encoder = S.Encoder()
     words, number, _ = S.sentences(S.Lines.of(encoder.encode(pa.array([text]))), pa.array(list(notices), pa.int64()).to_numpy())

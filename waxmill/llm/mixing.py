@@ -1,17 +1,19 @@
 """Mixing sources to target shares of tokens.
 
-Entropy balancing: of all document rates that give each source its tokens, those nearest to the base rates (in relative entropy,
-tokens being the units of mass) are exponentially tilted, rate = base * exp(lambda of the source), limited by the source's
-largest number of repeats. The multipliers solve a convex dual; Newton's iterations sum gradient and curvature over all
-documents, in parallel. Rates become whole copies by systematic rounding against a hash of the text, with a threshold that a
-histogram of the hashes sets so that each source meets its tokens.
+Entropy balancing: of all document rates that give each source its tokens, those nearest to the base rates (in relative entropy over
+documents) are exponentially tilted by the documents' tokens, rate = base * exp(lambda of the source * tokens), limited by the source's
+largest number of repeats. A source that must shrink gives up long documents before short ones, one that must grow repeats long ones
+first; that moves the fewest documents away from being used once. The multipliers solve a convex dual by Newton's iterations. The sums
+these need depend on a document only through its source and tokens, so one distributed pass counts classes of tokens per source, and the
+iterations run over those counts. Rates become whole copies by order sampling with a hash of the text, the threshold of which is set by
+a histogram so that each source meets its tokens.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ from waxmill.llm.tokens import DEFAULT_RANKS, token_counts
 from waxmill.session import materialize
 
 #: Newton stops when every source is within this share of its tokens.
-TOLERANCE = 1e-9
-MOST_ITERATIONS = 60
-#: Classes of the hash histograms; two levels of them leave 1/CLASSES**2 of a source undecided, which is rounded to the nearer side.
+TOLERANCE = 1e-12
+MOST_ITERATIONS = 200
+#: Token counts up to EXACT are classes of their own, larger ones are classed by 1/FINE of their doublings.
+EXACT, FINE = 2048, 1024
+#: Classes of the sampling histograms; two levels of them leave 1/CLASSES**2 of a source undecided, which is rounded to the nearer side.
 CLASSES = 1024
 #: A text of more than this share of the tokens wanted from its source is rounded before the others.
 LARGE_UNIT = 1 / 50
@@ -39,34 +43,45 @@ def source_name(source: Column) -> Column:
     return F.coalesce(F.regexp_replace(strip_blanks(F.lower(source)), r"[\s_-]+", "_"), F.lit(""))
 
 
-def newton_multipliers(units: DataFrame, wanted: dict[str, float], most: dict[str, int]) -> dict[str, float]:
-    """lambda per source, such that the rates min(most, base * exp(lambda)) of units (source, tokens, base) sum to the wanted tokens.
+def size_class(tokens: Column) -> Column:
+    """The class of a token count; less than EXACT + 64 * FINE of them exist."""
+    doublings = F.log2(F.greatest(tokens, F.lit(EXACT)) / F.lit(EXACT))
+    return F.when(tokens < EXACT, tokens).otherwise(F.lit(EXACT) + F.floor(doublings * FINE)).cast("int")
 
-    wanted: at most most * (all tokens of the source); the number of sources is bounded by the table of targets.
+
+def tilted_rates(documents: np.ndarray, tokens: np.ndarray, wanted: float, most: float, base: float = 1.0) -> tuple[np.ndarray, float, int]:
+    """(rate of each class, lambda, iterations): rates min(most, base * exp(lambda * tokens of a document)) that give the wanted tokens.
+
+    documents, tokens: of each class the number of documents and all their tokens. Newton's steps on the convex dual, whose gradient is the
+    tokens that are missing; a step that leaves the interval known to hold the solution is replaced by its middle.
     """
-    spark = units.sparkSession
-    multipliers = dict.fromkeys(wanted, 0.0)
-    for _ in range(MOST_ITERATIONS):
-        state = F.broadcast(spark.createDataFrame([(s, x, float(most[s])) for s, x in multipliers.items()], "source string, multiplier double, most double"))
-        rate = F.col("base") * F.exp("multiplier")
-        mass = F.col("tokens").cast("double")
-        sums = units.join(state, "source").groupBy("source").agg(
-            F.sum(mass * F.least(rate, "most")).alias("reached"),
-            F.sum(F.when(rate < F.col("most"), mass * rate).otherwise(0.0)).alias("curvature"),
-            F.sum(mass * rate).alias("free"),
-        )
-        worst = 0.0
-        for r in sums.collect():
-            s = r["source"]
-            gap = wanted[s] - r["reached"]
-            worst = max(worst, abs(gap) / max(1.0, wanted[s]))
-            if abs(gap) > TOLERANCE * max(1.0, wanted[s]):
-                # where all rates are at the limit, the curvature without it still leads back
-                step = gap / (r["curvature"] or r["free"])
-                multipliers[s] += max(-2.0, min(2.0, step))
-        if worst <= TOLERANCE:
+    mean = tokens / documents
+    scale = tokens.sum() / documents.sum()
+    x = mean / scale
+    if wanted <= 0:
+        return np.zeros(len(x)), -np.inf, 0
+    if wanted >= most * tokens.sum():
+        return np.full(len(x), float(most)), np.inf, 0
+
+    def rates(at: float) -> np.ndarray:
+        return np.minimum(most, base * np.exp(np.minimum(700.0, at * x)))
+
+    low, high, at = -1.0, 1.0, 0.0
+    while tokens @ rates(low) > wanted:
+        low *= 2
+    while tokens @ rates(high) < wanted:
+        high *= 2
+    for step in range(MOST_ITERATIONS):
+        rate = rates(at)
+        gap = wanted - tokens @ rate
+        if abs(gap) <= TOLERANCE * wanted:
             break
-    return multipliers
+        low, high = (at, high) if gap > 0 else (low, at)
+        slope = float((tokens * x * rate * (rate < most)).sum())
+        at = at + gap / slope if slope > 0 else np.inf
+        if not low < at < high:
+            at = (low + high) / 2
+    return rates(at), at / scale, step
 
 
 def _sums(rows: DataFrame, *by: str) -> dict[tuple, dict[int, int]]:
@@ -92,31 +107,40 @@ def _cut(sums: dict[int, int], need: float, nearest: bool) -> tuple[int, float]:
 def _extra_thresholds(units: DataFrame, need: dict[str, float]) -> dict[tuple[str, bool], tuple[int, int]]:
     """Per source and stratum the class, and the class within it, below which units get one more copy, so that these add up to the tokens needed.
 
-    Units that alone hold LARGE_UNIT of a source's need are decided first, in proportion; the many small ones then make up
-    for what the large ones are off by.
+    Units that alone hold LARGE_UNIT of a source's need are decided first, to the sum of their own fractions; the many small ones then make
+    up for what the large ones are off by.
     """
     spark = units.sparkSession
     first = _sums(units, "source", "large", "c1")
-    held = {k: sum(v.values()) for k, v in first.items()}
+    expected = {r["source"]: r["t"] for r in units.filter("large").groupBy("source").agg(F.sum(F.col("tokens") * F.col("part")).alias("t")).collect()}
     cuts: dict[tuple[str, bool], tuple[int, int]] = {}
     rest = dict(need)
     for large in (True, False):
-        edges = {}
-        for s in need:
-            mine = first.get((s, large), {})
-            want = need[s] * held.get((s, True), 0) / max(1, held.get((s, True), 0) + held.get((s, False), 0)) if large else rest[s]
-            edges[s] = _cut(mine, max(0.0, want), False)
+        want = {s: expected.get(s, 0.0) if large else max(0.0, rest[s]) for s in need}
+        edges = {s: _cut(first.get((s, large), {}), want[s], False) for s in need}
         edge = F.broadcast(spark.createDataFrame([(s, c) for s, (c, _) in edges.items()], "source string, c1 int"))
         second = _sums(units.filter(F.col("large") == large).join(edge, ["source", "c1"]), "source", "c2")
         for s, (c1, left) in edges.items():
             c2, over = _cut(second.get((s,), {}), left, True)
-            cuts[s, large] = (c1, c2)
             if large:
-                want = need[s] * held.get((s, True), 0) / max(1, held.get((s, True), 0) + held.get((s, False), 0))
-                rest[s] = need[s] - (want - over)
+                rest[s] = need[s] - (want[s] - over)
+                c1, c2, rest[s] = _within(rest[s], sum(first.get((s, False), {}).values()), c1, c2, second.get((s,), {}), first.get((s, True), {}))
+            cuts[s, large] = (c1, c2)
     return cuts
 
 
+def _within(rest: float, small: int, c1: int, c2: int, inner: dict[int, int], outer: dict[int, int]) -> tuple[int, int, float]:
+    """The cut moved on, and what is then left, until the small units can make up for that; a class is taken only if that brings the sum nearer."""
+    off = lambda r: max(0.0, r - small, -r)
+    after = [(c1, c + 1, inner.get(c, 0)) for c in range(c2, CLASSES)] + [(c + 1, 0, outer.get(c, 0)) for c in range(c1 + 1, CLASSES)]
+    at = (c1, c2)
+    for next1, next2, tokens in after:
+        if rest <= small or off(rest - tokens) >= off(rest) > 0 < tokens:
+            break
+        rest, at = rest - tokens, (next1, next2)
+    return (*at, rest)
+
+
 def feasible_total(available: dict[str, int], shares: dict[str, float], targets: dict[str, Target]) -> float:
     """The largest total at which every source with tokens can have its share within its repeats."""
     return min((targets[s].max_repeats * available[s] / shares[s] for s in shares if shares[s] > 0), default=0.0)
@@ -140,27 +164,33 @@ def mix(docs: DataFrame, id: str, text: str, source: str, targets: dict[str, Tar
     table = F.broadcast(spark.createDataFrame([(s, float(t.share), t.max_repeats) for s, t in targets.items()], "source string, target_share double, max_repeats int"))
     usable = sized.filter((F.col("tokens") > 0) & F.col("id").isNotNull()).join(table, "source", "left_semi")
     units = usable.groupBy("digest").agg(F.min(F.struct("id", "source")).alias("first"), F.min("tokens").alias("tokens"))
-    # the upper hash bits order the units, the next ones order those of a class
-    hashed = F.xxhash64("digest")
-    bits = CLASSES.bit_length() - 1
-    units = units.select("first.id", "first.source", "tokens", F.lit(1.0).alias("base"), F.shiftrightunsigned(hashed, 64 - bits).cast("int").alias("c1"), F.shiftrightunsigned(hashed, 64 - 2 * bits).bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("c2"))
-    units = materialize(units, "units")
+    units = materialize(units.select("first.id", "first.source", "tokens", size_class(F.col("tokens")).alias("class"), F.xxhash64("digest").alias("hash")), "units")
 
-    available = {r["source"]: r["t"] for r in units.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    # at most (EXACT + 64 * FINE) classes for each source of the targets
+    counted = units.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).orderBy("source", "class").toPandas()
+    available = {s: int(g["t"].sum()) for s, g in counted.groupby("source")}
     held = sum(targets[s].share for s in available)
     shares = {s: targets[s].share / held for s in available if held > 0}
     most = {s: targets[s].max_repeats for s in available}
     budget = feasible_total(available, shares, targets) if total is None else float(total)
-    wanted = {s: min(most[s] * available[s], budget * shares[s]) for s in available}
-    multipliers = newton_multipliers(units, wanted, most) if available else {}
-
-    rates = {s: min(float(most[s]), math.exp(x)) for s, x in multipliers.items()}
-    whole = {s: min(most[s], math.floor(r + 1e-7)) for s, r in rates.items()}
-    need = {s: max(0.0, wanted[s] - whole[s] * available[s]) if whole[s] < most[s] else 0.0 for s in rates}
-    strata = F.broadcast(spark.createDataFrame([(s, whole[s], need[s] * LARGE_UNIT) for s in rates], "source string, whole int, large_from double"))
-    units = units.join(strata, "source").withColumn("large", F.col("tokens") > F.col("large_from")).drop("large_from")
-    cuts = _extra_thresholds(units, need) if need else {}
-    state = F.broadcast(spark.createDataFrame([(s, large, *c) for (s, large), c in cuts.items() if whole[s] < most[s]], "source string, large boolean, cut1 int, cut2 int"))
+    wanted = {s: min(most[s] * available[s], budget * shares.get(s, 0.0)) for s in available}
+
+    plan, need = [], {}
+    for s, g in counted.groupby("source"):
+        t = g["t"].to_numpy(float)
+        rate, _, _ = tilted_rates(g["n"].to_numpy(float), t, wanted[s], most[s])
+        whole = np.minimum(most[s], np.floor(rate + 1e-9))
+        part = np.where(whole < most[s], np.maximum(0.0, rate - whole), 0.0)
+        need[s] = float(t @ part)
+        plan += list(zip([s] * len(g), g["class"].tolist(), whole.astype(int).tolist(), part.tolist(), [need[s] * LARGE_UNIT] * len(g), strict=True))
+    rates = F.broadcast(spark.createDataFrame(plan, "source string, class int, whole int, part double, large_from double"))
+    # order sampling: units by a uniform number over the fraction of a copy that they should have, the smallest first
+    uniform = (F.shiftrightunsigned("hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    place = F.when(F.col("part") > 0, uniform / (uniform + F.col("part")))
+    units = units.join(rates, ["source", "class"]).withColumn("large", F.col("tokens") > F.col("large_from"))
+    units = units.withColumn("c1", F.floor(place * CLASSES).cast("int")).withColumn("c2", F.floor((place * CLASSES - F.col("c1")) * CLASSES).cast("int"))
+    cuts = _extra_thresholds(units.filter(F.col("c1").isNotNull()), need) if need else {}
+    state = F.broadcast(spark.createDataFrame([(s, large, *c) for (s, large), c in cuts.items()], "source string, large boolean, cut1 int, cut2 int"))
     extra = (F.col("c1") < F.col("cut1")) | ((F.col("c1") == F.col("cut1")) & (F.col("c2") < F.col("cut2")))
     copies = F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")
     selection = units.join(state, ["source", "large"], "left").select("id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
