@@ -1,12 +1,14 @@
 """Subject areas of documents.
 
-Terms are embedded by a truncated singular value decomposition of their weighted association within sentences (how much more often
-two terms meet than chance has it); a sentence is the weighted sum of its terms. Terms gather round centroids that are refined
-iteratively; labelled samples, the seeds, say which subject a centroid stands for. A sentence is about the subject whose
-centroid it is most similar to, if it is similar enough, and a document about the subjects of enough of its sentences.
+Term weighting and truncated singular value decomposition: per language, terms are weighted by how much more often they meet within sentences
+than chance has it, and the decomposition of these weights embeds them. A sentence is embedded as the weighted sum of its terms, the weight
+of a term being the cube of its likeness to the nearest subject, so that words of no subject don't blur it. Centroids start from labelled
+samples, the seeds, and from terms that none of these is like; they are refined iteratively, each taking the mean of its nearest terms, so
+that words are reached that no sample shows. The samples then vote on what each centroid stands for. A sentence is about the subject whose
+centroid has the highest cosine with it, if their product is large enough, and a document about the subjects of enough of its sentences.
 
 All statistics (notices, term frequencies, associations) are counted over all distinct texts, in parallel; what reaches the driver
-is bounded by the model's size: MODEL_TERMS terms and their associations, whatever the corpus.
+is bounded by the model's size: model_terms terms and their associations, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from waxmill.functions.ids import not_blank
 from waxmill.session import materialize
 
-#: Model size: the terms that occur in the most texts, and the dimensions of their embedding.
-MODEL_TERMS, DIMENSIONS = 2048, 128
+#: Model size: the terms that occur in the most texts, of all languages.
+MODEL_TERMS = 2048
+#: Dimensions of a language's embedding: one for so many terms, at least two for each subject, at most so many.
+TERMS_A_DIMENSION, DIMENSIONS = 12, 128
 #: A term in a larger share of the texts carries no subject and isn't among the model's terms.
 TOO_COMMON = 0.4
 #: A line of at most so many words that recurs in this share of the texts (in three at least) is a notice or menu. Near copies count as one text.
@@ -35,8 +39,10 @@ NOTICE_WORDS, NOTICE_SHARE = 16, 0.002
 BANDS, BAND_ROWS = 16, 4
 #: Sentences: of at least so many words; text without punctuation is cut into sentences of about USUAL words once it is longer than LONGEST.
 SHORTEST, USUAL, LONGEST = 3, 15, 40
-#: Terms join a centroid of at least this similarity; a centroid of fewer terms stands for nothing.
-SAME_CENTROID, LEAST_TERMS = 0.75, 4
+#: Terms join a centroid of at least this similarity; a centroid of fewer terms that no seed started stands for nothing, one of a seed needs two.
+SAME_CENTROID, LEAST_TERMS, LEAST_SEED_TERMS = 0.75, 4, 2
+#: A word in more of the other subjects' samples than this is no seed of a subject.
+SEED_OTHERS = 0.3
 REFINEMENTS = 8
 #: Similarity from which a term counts, and the sum of its terms' weighted similarities from which a sentence is about a subject.
 TERM_COUNTS, SENTENCE_COUNTS = 0.4, 0.5
@@ -120,6 +126,13 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(both[keep], pa.int32()))
 
 
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers in order, each once, how often each); by sorting, which is quicker here than hashing."""
+    numbers = np.sort(numbers)
+    starts = np.nonzero(np.append(True, numbers[1:] != numbers[:-1]))[0] if len(numbers) else np.zeros(0, np.int64)
+    return numbers[starts], np.diff(np.append(starts, len(numbers)))
+
+
 def _mix(codes: np.ndarray) -> np.ndarray:
     x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -127,11 +140,12 @@ def _mix(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lines:
-    """The lines of encoded texts: the words with their lines, and per line its text, end marker, words and hash."""
+    """The lines of encoded texts: the words with their lines and sentences, per sentence its end marker, and per line its text, end marker, words and hash."""
 
     words: np.ndarray
     line: np.ndarray
     sentence: np.ndarray
+    end: np.ndarray
     doc: np.ndarray
     marker: np.ndarray
     size: np.ndarray
@@ -152,7 +166,7 @@ class Lines:
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words), dtype=np.uint64)])
         end = np.cumsum(size)
         hashed = running[end] - running[end - size]
-        return cls(words, of, sentence[is_word], doc[ends], values[ends], size, hashed.view(np.int64))
+        return cls(words, of, sentence[is_word], values[~is_word], doc[ends], values[ends], size, hashed.view(np.int64))
 
 
 def sentences(lines: Lines, notices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,9 +175,10 @@ def sentences(lines: Lines, notices: np.ndarray) -> tuple[np.ndarray, np.ndarray
     own = ~(np.isin(lines.hash, notices) & (lines.size <= NOTICE_WORDS))
     texts = int(lines.doc.max()) + 1 if n else 0
     closes = np.bincount(lines.doc[own & (lines.marker == LINE_END)], minlength=texts) > 0
-    # where a text has sentences with an end, a line without one is a heading
-    own &= (lines.marker == LINE_END) | ~closes[lines.doc]
-    kept = own[lines.line]
+    # where a text has lines that end with a sentence, what stands at the end of another without its own end is a heading, if it is as short as one
+    size = np.bincount(lines.sentence, minlength=len(lines.end))
+    heading = (lines.end == LINE) & (size <= NOTICE_WORDS)
+    kept = own[lines.line] & ~(heading[lines.sentence] & closes[lines.doc[lines.line]])
     words, sentence, doc = lines.words[kept], lines.sentence[kept], lines.doc[lines.line[kept]]
     if not len(words):
         return words, sentence, doc
@@ -180,6 +195,37 @@ def sentences(lines: Lines, notices: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words, np.cumsum(first) - 1, doc[first]
 
 
+class Places:
+    """Places of words among the sorted terms, by a table without collisions where one is found."""
+
+    SLOTS = 20
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, self.table = terms, None
+        for k in range(64 if len(terms) else 0):
+            self.factor = np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+            slots = self._slots(terms)
+            if len(np.unique(slots)) == len(terms):
+                self.table = np.zeros(1 << self.SLOTS, np.int32)
+                self.table[slots] = np.arange(len(terms))
+                break
+
+    def _slots(self, words: np.ndarray) -> np.ndarray:
+        return (words.astype(np.uint64) * self.factor >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words are terms, the places of those)."""
+        if self.table is not None:
+            place = self.table[self._slots(words)]
+        elif len(self.terms):
+            place = np.searchsorted(self.terms, words)
+            place[place == len(self.terms)] = 0
+        else:
+            return np.zeros(len(words), bool), np.zeros(0, np.int64)
+        known = self.terms[place] == words
+        return known, place[known].astype(np.int64)
+
+
 def encode_texts(texts: DataFrame) -> DataFrame:
     """texts (digest, text) as a written table (digest, codes, words): a row per text; and, where digest is null, the words of the codes met by a task."""
 
@@ -239,7 +285,7 @@ def notices_of(encoded: DataFrame, recurring: np.ndarray, least: float) -> list[
     return [r["hash"] for r in counted.filter(F.col("n") >= least).collect()]
 
 
-def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int], int]:
+def count_lines_and_words(encoded: DataFrame, model_terms: int = MODEL_TERMS) -> tuple[list[int], dict[int, int], int]:
     """(hashes of notices, texts by word code of the model's terms, number of texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +296,9 @@ def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=names)
 
         def merged(pairs: np.ndarray) -> np.ndarray:
-            keys, back = np.unique(pairs[:, 0], return_inverse=True)
-            return np.stack([keys, np.bincount(back, weights=pairs[:, 1], minlength=len(keys)).astype(np.int64)], 1)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            keys, n = _distinct(pairs[:, 0])
+            return np.stack([keys, np.add.reduceat(pairs[:, 1], np.cumsum(n) - n) if len(n) else n], 1)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -264,9 +311,9 @@ def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int]
                 order = np.lexsort((hashed, of))
                 of, hashed = of[order], hashed[order]
                 new = np.append(True, (of[1:] != of[:-1]) | (hashed[1:] != hashed[:-1]))[: len(of)]
-                yield rows(1, *np.unique(hashed[new], return_counts=True))
-                doc_word = np.unique(lines.doc[lines.line] << 32 | lines.words)
-                words = np.concatenate([words, np.stack(np.unique(doc_word & 0xFFFFFFFF, return_counts=True), 1)])
+                yield rows(1, *_distinct(hashed[new]))
+                doc_word, _ = _distinct(lines.doc[lines.line] << 32 | lines.words)
+                words = np.concatenate([words, np.stack(_distinct(doc_word & 0xFFFFFFFF), 1)])
                 if len(words) > 500_000:
                     words = merged(words)
         words = merged(words)
@@ -280,7 +327,7 @@ def count_lines_and_words(encoded: DataFrame) -> tuple[list[int], dict[int, int]
     least = max(3, NOTICE_SHARE * total)
     recurring = [r["key"] for r in counted.filter((F.col("kind") == 1) & (F.col("n") >= least)).collect()]
     notices = notices_of(encoded, np.array(sorted(recurring), np.int64), least) if recurring else []
-    terms = counted.filter((F.col("kind") == 2) & (F.col("n") >= 3) & (F.col("n") <= max(3, TOO_COMMON * total))).orderBy(F.desc("n"), "key").limit(MODEL_TERMS)
+    terms = counted.filter((F.col("kind") == 2) & (F.col("n") >= 3) & (F.col("n") <= max(3, TOO_COMMON * total))).orderBy(F.desc("n"), "key").limit(model_terms)
     return notices, {r["key"]: r["n"] for r in terms.collect()}, total
 
 
@@ -290,6 +337,7 @@ def count_associations(encoded: DataFrame, terms: np.ndarray, notices: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total, waiting, held = np.zeros(v * v, np.int32), 0, [], 0
+        places = Places(terms)
 
         def settle() -> None:
             nonlocal held
@@ -304,19 +352,18 @@ def count_associations(encoded: DataFrame, terms: np.ndarray, notices: np.ndarra
                 if not len(words):
                     continue
                 total += int(sentence[-1]) + 1
-                place = np.searchsorted(terms, words)
-                place[place == v] = 0
-                known = terms[place] == words
-                unique = np.unique(sentence[known] * v + place[known])
-                of, term = unique // v, unique % v
+                known, place = places.find(words)
+                unique, _ = _distinct(sentence[known] * v + place)
+                of = unique // v
+                term = (unique - of * v).astype(np.int32)
                 starts = np.nonzero(np.append(True, of[1:] != of[:-1]))[0] if len(of) else np.zeros(0, np.int64)
                 sizes = np.diff(np.append(starts, len(of)))
                 for size in np.unique(sizes):
-                    block = term[starts[sizes == size][:, None] + np.arange(size)]
-                    i, j = np.triu_indices(size)
-                    # terms are in order within a sentence: i <= j
-                    waiting.append((block[:, i] * v + block[:, j]).ravel())
-                    held += waiting[-1].size
+                    block = np.ascontiguousarray(term[starts[sizes == size][:, None] + np.arange(size)].T)
+                    # terms are in order within a sentence
+                    for i in range(size):
+                        waiting.append((block[i] * np.int32(v) + block[i:]).ravel())
+                        held += waiting[-1].size
                 if held > 4_000_000:
                     settle()
         settle()
@@ -324,7 +371,7 @@ def count_associations(encoded: DataFrame, terms: np.ndarray, notices: np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(sums[found], total), pa.int64())], names=["pair", "n"])
 
     rows = encoded.select("codes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # at most MODEL_TERMS**2 / 2 numbers
+    # at most model_terms**2 / 2 numbers
     got = rows.toArrow()
     pair, n = got.column("pair").to_numpy(), got.column("n").to_numpy()
     met = np.zeros(v * v)
@@ -333,14 +380,14 @@ def count_associations(encoded: DataFrame, terms: np.ndarray, notices: np.ndarra
     return met + np.triu(met, 1).T, int(n[pair < 0].sum())
 
 
-def embed_terms(met: np.ndarray, n_sentences: int) -> np.ndarray:
+def embed_terms(met: np.ndarray, n_sentences: int, least: int) -> np.ndarray:
     """Unit vectors of the terms: truncated singular value decomposition of the weighted associations, by subspace iteration."""
     df = np.diag(met).copy()
     chance = np.outer(df, df) / max(1, n_sentences)
     weighted = np.log1p(np.maximum(0, (met - chance) / np.sqrt(chance + 1)))
     np.fill_diagonal(weighted, 0)
     # a smaller vocabulary has fewer directions that aren't noise
-    k = min(DIMENSIONS, len(df), max(8, len(df) * DIMENSIONS // MODEL_TERMS))
+    k = min(len(df), DIMENSIONS, max(least, len(df) // TERMS_A_DIMENSION))
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(df), min(len(df), k + 16))))[0]
     for _ in range(6):
         basis = np.linalg.qr(weighted @ basis)[0]
@@ -350,12 +397,31 @@ def embed_terms(met: np.ndarray, n_sentences: int) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-def refine_centroids(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Centroids of the terms: the heaviest terms start them, then each takes the mean of its nearest terms until REFINEMENTS are made."""
-    centroids = np.zeros((0, vectors.shape[1]))
+def seed_centroids(vectors: np.ndarray, held: list[tuple[set[int], str]], subjects: list[str], neutral: str) -> np.ndarray:
+    """A centroid for each subject with samples (the terms they hold, subject): the sum of its terms by how much more often its samples hold them than others do."""
+    shown = np.zeros((len(held), len(vectors)))
+    for row, (terms, _) in enumerate(held):
+        shown[row, list(terms)] = 1
+    subject = np.array([s for _, s in held])
+    seeds = []
+    for s in subjects:
+        mine = subject == s
+        if s == neutral or not mine.any():
+            continue
+        inside, outside = shown[mine].mean(0), (shown[~mine].sum(0) + 0.5) / ((~mine).sum() + 1)
+        weight = np.where((inside > 0) & (outside <= SEED_OTHERS), inside * np.maximum(0, np.log(np.maximum(inside, 1e-9) / outside)), 0)
+        seed = weight @ vectors
+        if np.linalg.norm(seed) > 0:
+            seeds.append(seed / np.linalg.norm(seed))
+    return np.array(seeds).reshape(-1, vectors.shape[1])
+
+
+def refine_centroids(vectors: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Centroids of the terms: the seeds, then the heaviest terms that are like none so far, start them; each takes the mean of its nearest terms until REFINEMENTS are made."""
+    centroids, seeded = seeds, np.ones(len(seeds), bool)
     for i in np.argsort(-weights, kind="stable"):
         if not len(centroids) or (centroids @ vectors[i]).max() < SAME_CENTROID:
-            centroids = np.vstack([centroids, vectors[i]])
+            centroids, seeded = np.vstack([centroids, vectors[i]]), np.append(seeded, False)
     for _ in range(REFINEMENTS):
         near = vectors @ centroids.T
         nearest, best = near.argmax(1), near.max(1)
@@ -363,16 +429,18 @@ def refine_centroids(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest[member], np.log1p(weights[member])[:, None] * vectors[member])
         sizes = np.bincount(nearest[member], minlength=len(centroids))
-        centroids = sums[sizes >= LEAST_TERMS]
+        centroids = np.where((sizes > 0)[:, None], sums, centroids)
+        kept = (sizes >= LEAST_TERMS) | seeded
+        centroids, seeded, sizes = centroids[kept], seeded[kept], sizes[kept]
         if not len(centroids):
             break
-        centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+        centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
         # centroids that have met are one
         apart: list[int] = []
-        for i in np.argsort(-sizes[sizes >= LEAST_TERMS], kind="stable"):
+        for i in np.lexsort((-sizes, ~seeded)):
             if all(centroids[i] @ centroids[j] < SAME_CENTROID for j in apart):
                 apart.append(i)
-        centroids = centroids[apart]
+        centroids, seeded = centroids[apart], seeded[apart]
     return centroids
 
 
@@ -449,62 +517,75 @@ class SubjectModel:
     words: list[str]
     labels: list[tuple[str, list[str]]]
 
-    def share(self, encoded: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(sentences about each subject, all sentences) of each encoded text."""
+    def share(self, encoded: pa.ListArray, places: Places) -> tuple[np.ndarray, np.ndarray]:
+        """(sentences about each subject, all sentences) of each encoded text; places: those of the model's terms."""
         words, sentence, doc = sentences(Lines.of(encoded), self.notices)
         counts, total = np.zeros((len(encoded), len(self.subjects))), np.bincount(doc, minlength=len(encoded)) if len(words) else np.zeros(len(encoded))
-        if len(words) and len(self.terms):
-            place = np.searchsorted(self.terms, words)
-            place[place == len(self.terms)] = 0
-            known = self.terms[place] == words
-            once = np.unique(sentence[known] * len(self.terms) + place[known])
+        known, place = places.find(words) if len(words) else (np.zeros(0, bool), np.zeros(0, np.int64))
+        if len(place):
+            once, _ = _distinct(sentence[known] * len(self.terms) + place)
             of, place = once // len(self.terms), once % len(self.terms)
-            scores = np.stack([np.bincount(of, weights=self.affinity[place, s], minlength=len(doc)) for s in range(len(self.subjects))], 1)
+            starts = np.nonzero(np.append(True, of[1:] != of[:-1]))[0]
+            scores = np.add.reduceat(self.affinity[place], starts, axis=0)
             about = scores.max(1) >= SENTENCE_COUNTS
-            np.add.at(counts, (doc[about], scores[about].argmax(1)), 1)
+            np.add.at(counts, (doc[of[starts[about]]], scores[about].argmax(1)), 1)
         return counts, total
 
 
-def fit(encoded: DataFrame, samples: list[tuple[str, str, str]], subjects: list[str], neutral: str) -> SubjectModel:
+def fit(encoded: DataFrame, samples: list[tuple[str, str, str]], subjects: list[str], neutral: str, model_terms: int = MODEL_TERMS) -> SubjectModel:
     """The model of a corpus (encoded, one row per distinct text). samples: labelled texts (text, language, subject), of which there may be some thousands at most; labels that aren't subjects are passed over."""
     texts = encoded.filter("digest is not null")
-    notices, df, _ = count_lines_and_words(texts)
+    notices, df, _ = count_lines_and_words(texts, model_terms)
     terms = np.array(sorted(df), dtype=np.int64)
     notices = np.array(sorted(notices), dtype=np.int64)
     empty = SubjectModel(subjects, neutral, terms[:0], np.zeros((0, len(subjects))), notices, [], [])
-    if len(terms) < LEAST_TERMS:
+    coded = Encoder().encode(pa.array([s[0] for s in samples], pa.string()))
+    place = {int(t): i for i, t in enumerate(terms)}
+    held = [({place[c] for c in codes if c in place}, t or "", s) for codes, (_, t, s) in zip(coded.to_pylist(), samples, strict=True) if s in subjects]
+    if len(terms) < LEAST_TERMS or not held:
         return empty
     dictionary = encoded.filter("digest is null").select(F.explode(F.arrays_zip("codes", "words")).alias("x")).select("x.codes", "x.words")
     wanted = F.broadcast(encoded.sparkSession.createDataFrame([(int(t),) for t in terms], "codes int"))
     names = {r["codes"]: r["w"] for r in dictionary.join(wanted, "codes").groupBy("codes").agg(F.min("words").alias("w")).collect()}
     words = [names.get(int(t), "") for t in terms]
     met, n = count_associations(texts, terms, notices)
-    vectors, weights = embed_terms(met, n), np.diag(met)
-    centroids = refine_centroids(vectors, weights)
-    if not len(centroids):
-        return empty
-    near = vectors @ centroids.T
-    members = [np.nonzero((near.argmax(1) == c) & (near[:, c] >= SAME_CENTROID))[0] for c in range(len(centroids))]
-    encoder = Encoder()
-    coded = encoder.encode(pa.array([s[0] for s in samples], pa.string()))
-    place = {int(t): i for i, t in enumerate(terms)}
-    held = [({place[c] for c in codes if c in place}, t or "", s) for codes, (_, t, s) in zip(coded.to_pylist(), samples, strict=True) if s in subjects]
-    if not held:
-        return empty
+
     tongues = sorted({t for _, t, _ in held})
-    labels = label_centroids(members, held, term_languages(met, held, tongues), tongues, words, subjects, neutral)
+    spoken = term_languages(met, held, tongues)
+    frequency = np.diag(met)
+    members: list[np.ndarray] = []
+    likeness: list[np.ndarray] = []
+    for k, tongue in enumerate(tongues):
+        mine = np.nonzero((spoken.argmax(1) == k) & (spoken.max(1) > 0))[0]
+        if len(mine) < LEAST_TERMS:
+            continue
+        at = {int(i): j for j, i in enumerate(mine)}
+        vectors = embed_terms(met[np.ix_(mine, mine)], int(n * frequency[mine].sum() / max(1.0, frequency.sum())), 2 * len(subjects) + 2)
+        shown = [({at[i] for i in h if i in at}, s) for h, t, s in held if t == tongue]
+        centroids = refine_centroids(vectors, frequency[mine], seed_centroids(vectors, shown, subjects, neutral))
+        near = vectors @ centroids.T
+        for c in range(len(centroids)):
+            joined = np.nonzero((near.argmax(1) == c) & (near[:, c] >= SAME_CENTROID))[0]
+            if len(joined) >= LEAST_SEED_TERMS:
+                members.append(mine[joined])
+                likeness.append(np.zeros(len(terms)))
+                likeness[-1][mine] = near[:, c]
+    if not members:
+        return empty
+    labels = label_centroids(members, held, spoken, tongues, words, subjects, neutral)
     affinity = np.zeros((len(terms), len(subjects)))
-    for c, label in enumerate(labels):
+    for near, label in zip(likeness, labels, strict=True):
         if label:
             s = subjects.index(label)
-            affinity[:, s] = np.maximum(affinity[:, s], near[:, c])
+            affinity[:, s] = np.maximum(affinity[:, s], near)
+    # weight and likeness at once: summed over a sentence's terms they are the product of its embedding and the centroids
     most = affinity.max(1, keepdims=True)
     affinity = np.where(most >= TERM_COUNTS, most**3 * np.maximum(affinity, 0), 0)
     telling = affinity.max(1) > 0
     return SubjectModel(subjects, neutral, terms[telling], affinity[telling], notices, words, [(label, [words[i] for i in m]) for label, m in zip(labels, members, strict=True)])
 
 
-def subject_areas(docs: DataFrame, id: str, text: str, samples: list[tuple[str, str, str]], subjects: list[str], neutral: str) -> DataFrame:
+def subject_areas(docs: DataFrame, id: str, text: str, samples: list[tuple[str, str, str]], subjects: list[str], neutral: str, model_terms: int = MODEL_TERMS) -> DataFrame:
     """id, subject, share: the subject areas of every document, with the share of its sentences about each.
 
     A subject is an area of a document if at least SUBJECT_SHARE of its sentences are about it, notices, menus and headings apart; the
@@ -514,13 +595,14 @@ def subject_areas(docs: DataFrame, id: str, text: str, samples: list[tuple[str,
     """
     keyed = docs.select(F.col(id).alias("id"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("text")).filter(not_blank("text"))
     encoded = encode_texts(keyed.select("digest", "text").dropDuplicates(["digest"]))
-    model = fit(encoded, samples, subjects, neutral)
+    model = fit(encoded, samples, subjects, neutral, model_terms)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(model.terms)
         for batch in frames:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                counts, total = model.share(part.column(1))
+                counts, total = model.share(part.column(1), places)
                 shares = counts / np.maximum(total, 1)[:, None]
                 rest = 1 - shares.sum(1)
                 area = shares >= SUBJECT_SHARE - 1e-9
