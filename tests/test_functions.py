@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waxmill.functions.ids import canonical_id, valid_path
 from waxmill.functions.quality import quality_score
 from waxmill.functions.similarity import matching_ratio
-from waxmill.functions.text import blocks, folder, normal_title, parse_flag, sanitise, search_terms, selected_numbers, stem, suffix, track_label, zfill
+from waxmill.functions.text import blocks, decision, folder, normal_title, parse_flag, sanitise, search_terms, selected_numbers, stem, suffix, track_label, zfill
 
 ID = "0d750307-c199-4a61-a731-fdf48faa8eb3"
 
@@ -45,7 +45,8 @@ def test_labels(spark):
     tracks = ["1", "3", "101", "A1", None]
     assert values(spark, tracks, "string", lambda c: track_label(c, F.lit("x"))) == ["01 x", "03 x", "01 x", "A1 x", None]
     assert values(spark, tracks, "string", zfill) == ["01", "03", "101", "A1", None]
-    assert values(spark, [" Song ", None], "string", normal_title) == ["song", ""]
+    assert values(spark, [" Song ", None, "\tSong\n"], "string", normal_title) == ["song", "", "song"]
+    assert [tuple(x) for x in values(spark, [" S", "q\n", "1,\t2", "9", "x", "", None], "string", lambda c: decision(c, F.lit(5)))] == [("skip", None), ("quit", None), ("select", [1, 2]), (None, None), (None, None), (None, None), (None, None)]
     assert values(spark, ["TRUE ", "1", "yes", "t", "false", "0", "", None], "string", lambda c: parse_flag(c, True)) == [True] * 4 + [False] * 3 + [True]
     assert values(spark, ["1, 3", "4", "x", "", None], "string", lambda c: selected_numbers(c, F.lit(3))) == [[1, 3], None, None, None, None]
     assert values(spark, ["b", "", None], "string", lambda c: search_terms(F.lit("a"), F.lit("t"), c)) == ['artist:"a" AND recording:"t" AND release:"b"'] + ['artist:"a" AND recording:"t"'] * 2

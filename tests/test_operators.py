@@ -182,10 +182,12 @@ def test_candidates(spark, candidates):
 def test_text_search_gives_the_same_rows(spark, candidates):
     found = [{"id": "r9", "title": "T", "ext:score": "87", "release-list": [{"id": "R", "title": "A", "date": "1999-02-01", "medium-list": [{"position": "2", "track-list": [{"number": "B3", "recording": {"id": "r9"}}]}]}, {"id": "Q", "date": None}]}, {"id": "r8", "ext:score": "x"}]
     df = spark.createDataFrame([("p", json.dumps(found)), ("n", None)], "path string, t string")
-    flat = flatten_search(df.select("path", F.from_json("t", RECORDINGS).alias("recordings")))
+    flat = flatten_search(df.select("path", F.lit("who").alias("artist"), F.from_json("t", RECORDINGS).alias("recordings")))
+    assert {r["artist"] for r in flat.collect()} == {"who"}
+    assert flatten_search(df.select("path", F.lit("who").alias("artist"), F.from_json("t", RECORDINGS).alias("recordings")), 0).count() == 0
     assert flat.columns == candidates.columns
     got = flat.select("release_id", "similarity", "date", "country", "album_title", track_place(F.col("mediums"), F.lit("r9"), F.lit("none")).alias("place"))
-    assert sorted((*tuple(r)[:5], tuple(r["place"])) for r in got.collect()) == [("Q", 0.87, "Unknown", "XX", "Unknown Album", ("1", "1")), ("R", 0.87, "1999", "XX", "A", ("B3", "2"))]
+    assert sorted((*tuple(r)[:5], tuple(r["place"])) for r in got.collect()) == [("Q", 0.87, "0000", "XX", "Unknown Album", ("1", "1")), ("R", 0.87, "1999", "XX", "A", ("B3", "2"))]
     assert first_seen(with_fallback(candidates, flat)).count() == 2
 
 
@@ -196,7 +198,7 @@ def test_file_plans(spark):
     assert got == [("s1", "/l/a/x (1).mp3", "copy"), ("s1", "/l/b/x (1).mp3", "move"), ("s2", "/l/b/x.mp3", "move"), ("s3", "noext", "move"), ("s4", "noext (1)", "move")]
     assert rows(number_collisions(moves, ["target"], [F.asc("src")]).select("src", "target", "collision_no"))[-1] == ("s4", "noext", 1)
     tags = spark.createDataFrame([(".MP3", "t", None), (".m4a", "t", "3"), (".ogg", "t", "1")], "e string, t string, n string")
-    assert [r[0] for r in tags.coalesce(1).select(tag_plan(F.col("e"), {"title": F.col("t"), "track_no": F.col("n")})).collect()] == [{"title": "t"}, {"\xa9nam": "t", "trkn": "3"}, None]
+    assert [r[0] for r in tags.coalesce(1).select(tag_plan(F.col("e"), {"title": F.col("t"), "track_no": F.col("n")})).collect()] == [{"TIT2": "t"}, {"\xa9nam": "t", "trkn": "3/0"}, None]
     folders = spark.createDataFrame([("/a",), ("/a/b",), ("/c",), ("/c/d",)], "folder string")
     assert rows(empty_folders(folders, spark.createDataFrame([("/a/b/x",)], "path string"))) == [("/c", 1), ("/c/d", 2)]
 

@@ -4,8 +4,9 @@ from importlib import import_module
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
-MODULES = [import_module(m) for m in ("waxmill.queries.core", "waxmill.queries.reference")]
+MODULES = [import_module(m) for m in ("waxmill.queries.core", "waxmill.queries.reference", "waxmill.queries.lookup")]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
@@ -20,9 +21,35 @@ def test_same_as_sql(spark, small, con, name):
     assert oracle.compare(spark, small, QUERIES[name], SQL[name], con) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs_without_sql(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_those_without_sql_are_tested_elsewhere():
+    # against plain versions: nested records in test_problems, the most similar text below
+    assert set(QUERIES) - set(SQL) == {"p5_found", "p5_tracks", "p5_node_counts", "similarity_best_match"}
+
+
+def test_nodes_are_counted_by_schema_path(spark, small):
+    nodes = QUERIES["p5_found"](spark, small)
+    got = {r["schema_path"].split(".")[-1].removesuffix("[]"): r["n_objects"] for r in QUERIES["p5_node_counts"](spark, small).collect()}
+    assert set(got) == {"candidates_json", "release", "artists", "mediums", "tracks", "quality_json"}
+    # every object of every distinct row; p5_found counts a place of a path once
+    for name, node in (("candidates_json", "candidate"), ("artists", "artist"), ("mediums", "medium"), ("tracks", "track"), ("quality_json", "quality")):
+        assert got[name] >= nodes.filter(F.col("node") == node).count() > 0
+    tracks = QUERIES["p5_tracks"](spark, small).select("path", "candidate_no", "medium_no", "item_no").distinct()
+    assert tracks.count() == nodes.filter("node = 'track'").count()
+
+
+def test_the_most_similar_text_as_brute_force(spark, small):
+    from difflib import SequenceMatcher
+
+    texts = {tuple(r) for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/known_fingerprints.parquet").select("arrival_no", "fingerprint").collect() if r[0] is not None and (r[1] or "").strip(" \t\r\n")}
+    cut = lambda t: {t[i : i + 16] for i in range(0, min(len(t), 256), 16)}
+    want = {}
+    for a, t in texts:
+        if a % 100 == 0:
+            met = [(-SequenceMatcher(None, t, u).ratio(), b) for b, u in texts if b != a and cut(t) & cut(u)]
+            if met:
+                want[a] = min(met)[1]
+    got = {r["probe"]: r["arrival_no"] for r in QUERIES["similarity_best_match"](spark, small.replace("0.001", "0.01")).collect()}
+    assert got == want
 
 
 def test_entry_has_a_stable_schema(spark):

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from waxmill.operators.catalog import latest_snapshot
+from waxmill.operators.catalog import drop_versions, latest_snapshot, write_snapshot
 from waxmill.operators.ranking import carry_forward
-from waxmill.streaming.ingest import parquet_stream, snapshot_stream, sticky_values, windowed_counts
+from waxmill.streaming.ingest import parked_stream, parquet_stream, snapshot_stream, sticky_values, windowed_counts
 
 
 def test_snapshots_take_the_latest_batch(spark, tmp_path):
@@ -41,3 +41,28 @@ def test_windows(spark, small, tmp_path):
     query = windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == table.count()
+
+
+def test_an_epoch_run_again_reads_only_earlier_versions(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    for version in range(4):
+        write_snapshot(spark.createDataFrame([(version,)], "v int"), folder, version)
+    assert latest_snapshot(spark, folder).first()["v"] == 3
+    assert latest_snapshot(spark, folder, before=3).first()["v"] == 2
+    assert drop_versions(spark, folder, keep=2) == 2
+    assert latest_snapshot(spark, folder, before=2) is None
+    assert latest_snapshot(spark, str(tmp_path / "none")) is None
+
+
+def test_parked_work_is_taken_up_again(spark, tmp_path):
+    """A row waits until a batch holds the key it refers to."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], "id long, needs long").schema
+    waiting = []
+    for batch in ([(1, None), (2, 5), (3, 9)], [(5, None)], [(9, 1), (10, None)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        ids = [r[0] for r in spark.read.parquet(source).collect()]
+        parked_stream(parquet_stream(spark, source, schema), out, str(tmp_path / "cp"), lambda rows: F.col("needs").isNull() | F.col("needs").isin(ids)).awaitTermination()
+        waiting.append(sorted(r["id"] for r in latest_snapshot(spark, f"{out}/parked").collect()))
+    assert waiting == [[2, 3], [3], []]
+    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/done").collect()) == [1, 2, 3, 5, 9, 10]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waxmill.functions.ids import col
+from waxmill.functions.ids import col, strip_blanks
 
 #: The suffixes that are scanned, block width and blocks of a fingerprint, and the texts that mean true.
 AUDIO_SUFFIXES = (".mp3", ".flac", ".m4a", ".mp4", ".wma", ".wav")
+REPAIR_SUFFIXES = (".m4a", ".mp4", ".aac")
 BLOCK_WIDTH, MOST_BLOCKS = 16, 16
 TRUE_TEXTS = ("true", "1", "yes", "t")
 
@@ -40,7 +41,7 @@ def track_label(track: Column | str, title: Column | str) -> Column:
 
 def normal_title(title: Column | str) -> Column:
     """The form in which titles are compared."""
-    return F.lower(F.btrim(F.coalesce(col(title), F.lit(""))))
+    return F.lower(strip_blanks(F.coalesce(col(title), F.lit(""))))
 
 
 def base_name(path: Column | str) -> Column:
@@ -62,13 +63,21 @@ def folder(path: Column | str) -> Column:
     return F.regexp_extract(col(path), r"^(.*)/[^/]*$", 1)
 
 
-def is_audio(path: Column | str) -> Column:
-    return suffix(path).isin(*AUDIO_SUFFIXES)
+def is_audio(path: Column | str, suffixes: tuple[str, ...] = AUDIO_SUFFIXES) -> Column:
+    return suffix(path).isin(*suffixes)
+
+
+def decision(answer: Column | str, most: Column) -> Column:
+    """struct(action, picks) of an answer: `s` skips, `q` quits (any case), a list of numbers selects; anything else is asked again (null)."""
+    said = F.lower(strip_blanks(col(answer)))
+    picks = selected_numbers(col(answer), most)
+    action = F.when(said == "s", "skip").when(said == "q", "quit").when(picks.isNotNull(), "select")
+    return F.struct(action.alias("action"), picks.alias("picks"))
 
 
 def parse_flag(value: Column | str, default: bool = False) -> Column:
     """True for the usual texts of true, false for other texts, the default for null."""
-    return F.coalesce(F.lower(F.btrim(col(value).cast("string"))).isin(*TRUE_TEXTS), F.lit(default))
+    return F.coalesce(F.lower(strip_blanks(col(value).cast("string"))).isin(*TRUE_TEXTS), F.lit(default))
 
 
 def blocks(fingerprint: Column | str) -> Column:
@@ -80,7 +89,7 @@ def blocks(fingerprint: Column | str) -> Column:
 
 def selected_numbers(text: Column | str, most: Column) -> Column:
     """`1, 3` as [1, 3]; null if any part isn't a number from 1 to most."""
-    numbers = F.transform(F.split(col(text), ","), lambda p: F.btrim(p).try_cast("int"))
+    numbers = F.transform(F.split(col(text), ","), lambda p: strip_blanks(p).try_cast("int"))
     return F.when(F.forall(numbers, lambda n: F.coalesce(n.between(1, most), F.lit(False))), numbers)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from waxmill.functions.text import blocks
 from waxmill.operators.ranking import keep_best
@@ -58,6 +59,23 @@ def add_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
 
 
+def stamped(before: DataFrame, after: DataFrame, keys: list[str], column: str, now: Column | None = None) -> DataFrame:
+    """after, with `column` set to the time of writing in the rows that are new or differ from before (one row a key each)."""
+    values = [c for c in after.columns if c not in (*keys, column)]
+    old = before.select(*keys, F.struct(*values).alias("__old"))
+    joined = after.join(old, keys, "left")
+    same = F.col("__old").isNotNull() & F.col("__old").eqNullSafe(F.struct(*values))
+    return joined.withColumn(column, F.when(same, F.col(column)).otherwise(now if now is not None else F.current_timestamp())).select(*after.columns)
+
+
+def create_missing(spark: SparkSession, folder: str, schemas: dict[str, StructType]) -> list[str]:
+    """Write an empty first snapshot of every table that has none, and return their names; tables that exist are left alone."""
+    made = [name for name in schemas if latest_snapshot(spark, f"{folder}/{name}") is None]
+    for name in made:
+        write_snapshot(spark.createDataFrame([], schemas[name]), f"{folder}/{name}", 0)
+    return made
+
+
 def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
     """Write a table's new version beside the earlier ones; readers take the latest whose _SUCCESS exists, so a failed write changes nothing."""
     target = f"{folder}/version={version:012d}"
@@ -65,11 +83,25 @@ def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
     return target
 
 
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The latest complete version, null if there is none."""
+def _complete_versions(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of the complete versions, oldest first."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(folder)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS"))
-    versions = sorted(str(s.getPath().getParent()) for s in done or [])
+    return sorted(str(s.getPath().getParent()) for s in done or [])
+
+
+def latest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The latest complete version, or the latest of a smaller number than `before`; None if there is none."""
+    versions = [v for v in _complete_versions(spark, folder) if before is None or int(v.rpartition("=")[2]) < before]
     return spark.read.parquet(versions[-1]) if versions else None
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Delete all but the latest `keep` complete versions; how many were deleted. What still reads an older one fails."""
+    old = _complete_versions(spark, folder)[:-keep]
+    for path in old:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(old)

@@ -74,15 +74,35 @@ def rate_slots(events: DataFrame, ts_us: str, id: str, gap_us: int) -> DataFrame
 
 
 def carry_forward(df: DataFrame, run: list[str], order: list[Column], touched: Column, value: Column, name: str) -> DataFrame:
-    """Adds the value of the last earlier row of the run that was touched; a touched row may set it to null."""
-    touch = F.when(touched, F.struct(value.alias("v")))
-    before = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__touch", touch).withColumn(name, F.last("__touch", ignorenulls=True).over(before)["v"]).drop("__touch")
+    """Adds the value of the last earlier row of the run that was touched; a touched row may set it to null.
+
+    A run of any length is spread over ordered slices: within a slice the value is carried along, and a table of one row per run
+    and slice says what comes in from the slices before.
+    """
+    rows = _sliced(df.withColumn("__touch", F.when(touched, F.struct(value.alias("v")))), run, order)
+    keys = [F.col(r) for r in run]
+    here = Window.partitionBy(*keys, F.col("__slice")).orderBy(*order)
+    ends = rows.withColumn("__last", F.last("__touch", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = ends.groupBy(*run, "__slice").agg(F.any_value("__last").alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).drop("__last")
+    so_far = F.last("__touch", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("__so_far", so_far).alias("r").join(carried.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*run, "__slice")])
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), F.coalesce("__so_far", "__carried")["v"].alias(name))
+
+
+def every_nth(df: DataFrame, order: list[Column], n: int, name: str = "batch_no") -> DataFrame:
+    """Adds the number (from 0) of the row's batch of n rows in this order."""
+    ranked = distributed_rank(df, [], order, "__n")
+    return ranked.withColumn(name, F.floor((F.col("__n") - 1) / n).cast("bigint")).drop("__n")
 
 
 def number_collisions(df: DataFrame, target: list[str], order: list[Column], taken: DataFrame | None = None) -> DataFrame:
-    """Adds collision_no: 0 for the first row of a target name, then 1, 2, ...; one more where the target is among `taken`."""
-    numbered = df.withColumn("collision_no", F.row_number().over(Window.partitionBy(*target).orderBy(*order)) - 1)
+    """Adds collision_no: 0 for the first row of a target name, then 1, 2, ...; one more where the target is among `taken`.
+
+    A name that very many rows have is numbered in slices (see distributed_rank).
+    """
+    numbered = distributed_rank(df, target, order, "collision_no").withColumn("collision_no", F.col("collision_no").cast("int") - 1)
     if taken is None:
         return numbered
     existing = taken.select(*target).distinct().withColumn("__taken", F.lit(1))

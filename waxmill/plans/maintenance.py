@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waxmill.functions.text import stem
+
 
 def missing_hashes(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """The files (path) that no row of hashes (path) names."""
@@ -26,6 +28,12 @@ def repair_status(decoded: Column, duration: Column) -> Column:
     return F.when(~F.coalesce(decoded, F.lit(False)), "ERROR").when(F.coalesce(duration > 0, F.lit(False)), "OK").otherwise("DELETED")
 
 
+def repair_plan(files: DataFrame, target: str) -> DataFrame:
+    """path, dst, arguments: one conversion to FLAC per file (path), sound only, without metadata, decoding errors passed over; `repair_status` judges its result."""
+    dst = F.concat(F.lit(target.rstrip("/") + "/"), stem("path"), F.lit(".flac"))
+    return files.select("path", dst.alias("dst"), F.array(F.lit("-err_detect"), F.lit("ignore_err"), F.lit("-i"), F.col("path"), *map(F.lit, ("-vn", "-map_metadata", "-1", "-c:a", "flac", "-y")), dst).alias("arguments"))
+
+
 def write_report(results: DataFrame, folder: str) -> None:
     """The failures as lines of text."""
     results.filter(F.col("status") != "OK").select(F.concat_ws("\t", "status", "path", "message").alias("value")).write.mode("overwrite").text(folder)

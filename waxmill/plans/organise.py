@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waxmill.functions.ids import strip_blanks
 from waxmill.functions.text import base_name, first_filled, folder, sanitise, stem, suffix, zfill
 from waxmill.operators.ranking import is_last, number_collisions
 
-#: The tag names of each kind of container.
-_PLAIN = {"title": "title", "artist": "artist", "album": "album", "album_artist": "albumartist", "track_no": "tracknumber", "disc_no": "discnumber", "release_date": "date", "release_id": "musicbrainz_albumid"}
-_ATOMS = {"title": "\xa9nam", "artist": "\xa9ART", "album": "\xa9alb", "album_artist": "aART", "track_no": "trkn", "disc_no": "disk", "release_date": "\xa9day"}
-_WINDOWS = {"title": "Title", "artist": "Author", "album": "WM/AlbumTitle", "album_artist": "WM/AlbumArtist", "track_no": "WM/TrackNumber", "disc_no": "WM/PartOfSet", "release_date": "WM/Year"}
-TAG_NAMES = {".mp3": _PLAIN, ".flac": _PLAIN, ".wav": _PLAIN, ".m4a": _ATOMS, ".mp4": _ATOMS, ".wma": _WINDOWS}
+#: The tag names of each kind of container, and the tags that are pairs of a number and a total, which is 0.
+_FRAMES = {"title": "TIT2", "album": "TALB", "artist": "TPE1", "album_artist": "TPE2", "track_no": "TRCK", "disc_no": "TPOS"}
+_PLAIN = {"title": "title", "album": "album", "artist": "artist", "album_artist": "albumartist", "track_no": "tracknumber", "disc_no": "discnumber"}
+_ATOMS = {"title": "\xa9nam", "album": "\xa9alb", "artist": "\xa9ART", "album_artist": "aART", "track_no": "trkn", "disc_no": "disk"}
+_WINDOWS = {"title": "Title", "album": "WM/AlbumTitle", "artist": "Author", "album_artist": "WM/AlbumArtist", "track_no": "WM/TrackNumber", "disc_no": "WM/PartOfSet"}
+PAIRS = ("trkn", "disk")
+TAG_NAMES = {".mp3": _FRAMES, ".flac": _PLAIN, ".wav": _PLAIN, ".m4a": _ATOMS, ".mp4": _ATOMS, ".wma": _WINDOWS}
 
 
 def target_name(track: Column, title: Column, ext: Column) -> Column:
@@ -25,14 +28,43 @@ def target_path(root: Column, artist: Column, album: Column, track: Column, titl
 
 
 def tag_plan(ext: Column, fields: dict[str, Column]) -> Column:
-    """The tags to write, by the names of the file's kind of container; null for other kinds and without null fields."""
+    """The tags to write, by the names of the file's kind of container; null for other kinds and without null fields.
+
+    Pairs are written `number/0`; a number that isn't whole can't be one, and then nothing is written (null).
+    """
     out = F.lit(None).cast("map<string,string>")
     for kind, names in TAG_NAMES.items():
-        pairs = F.create_map(*(x for field, name in names.items() if field in fields for x in (F.lit(name), fields[field].cast("string"))))
-        out = F.when(F.lower(ext) == kind, F.map_filter(pairs, lambda _, v: v.isNotNull())).otherwise(out)
+        whole = F.lit(True)
+        entries = []
+        for field, name in names.items():
+            if field not in fields:
+                continue
+            value = fields[field].cast("string")
+            if name in PAIRS:
+                number = strip_blanks(value).try_cast("int")
+                whole &= number.isNotNull()
+                value = F.concat(number.cast("string"), F.lit("/0"))
+            entries += [F.lit(name), value]
+        tags = F.when(whole, F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()))
+        out = F.when(F.lower(ext) == kind, tags).otherwise(out)
     return out
 
 
+def tag_meta(recording_title: Column, album_title: Column, artist: Column, album_artist: Column, place: Column, year: Column, release_id: Column) -> Column:
+    """The fields of a file's tags out of its chosen candidate, with their defaults."""
+    who = first_filled(artist, default="Unknown Artist")
+    return F.struct(
+        first_filled(recording_title, default="Unknown").alias("title"),
+        first_filled(album_title, default="Unknown Album").alias("album"),
+        who.alias("artist"),
+        F.coalesce(F.nullif(album_artist, F.lit("")), who).alias("album_artist"),
+        place["track_no"].alias("track_no"),
+        place["disc_no"].alias("disc_no"),
+        F.coalesce(year.cast("string"), F.lit("0000")).alias("release_date"),
+        release_id.alias("release_id"),
+    )
+
+
 def file_actions(moves: DataFrame, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
     """src, dst, op of moves (src, target): a source's last target is a move, the others copies; names that collide, or are taken, get ` (n)`."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waxmill.functions.ids import canonical_id, canonical_id_sql, clean_text, not_blank, strip_blanks_sql, valid_path
+from waxmill.functions.ids import canonical_id, canonical_id_sql, clean_text, not_blank, strip_blanks, strip_blanks_sql, valid_path
 from waxmill.functions.quality import quality_score
 from waxmill.functions.similarity import matching_ratio
 from waxmill.functions.text import base_name, folder, is_audio, normal_title, parse_flag, sanitise, selected_numbers, suffix, table_row, track_label, zfill
@@ -104,9 +104,9 @@ def order_by_unprojected(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").orderBy("path", "album_id", "track_no", "title", "batch_no").select("path", "album_id", "track_no", "title")
 
 
-@query("SELECT lower(trim(format)) AS flag, CASE WHEN format IS NULL THEN true ELSE lower(trim(format)) IN ('true', '1', 'yes', 't') END AS parsed, count(*) AS n FROM files GROUP BY ALL")
+@query(f"SELECT lower({strip_blanks_sql('format')}) AS flag, CASE WHEN format IS NULL THEN true ELSE lower({strip_blanks_sql('format')}) IN ('true', '1', 'yes', 't') END AS parsed, count(*) AS n FROM files GROUP BY ALL")
 def parse_flags(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "files").groupBy(F.lower(F.btrim("format")).alias("flag"), parse_flag("format", True).alias("parsed")).agg(F.count("*").alias("n"))
+    return read_table(spark, d, "files").groupBy(F.lower(strip_blanks("format")).alias("flag"), parse_flag("format", True).alias("parsed")).agg(F.count("*").alias("n"))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
@@ -319,7 +319,11 @@ def _known_texts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "known_fingerprints").select("arrival_no", "fingerprint").filter(not_blank("fingerprint")).dropna().distinct()
 
 
-@query()
+@query(
+    f"WITH t AS (SELECT DISTINCT arrival_no, fingerprint FROM known_fingerprints WHERE {strip_blanks_sql('fingerprint')} <> '' AND arrival_no IS NOT NULL), "
+    "b AS (SELECT DISTINCT arrival_no, substr(fingerprint, i * 16 + 1, 16) AS block FROM t, range(16) r(i) WHERE i * 16 < length(fingerprint)) "
+    "SELECT p.arrival_no AS probe, k.arrival_no, count(*) AS shared FROM b p JOIN b k USING (block) WHERE p.arrival_no % 100 = 0 AND p.arrival_no <> k.arrival_no GROUP BY ALL HAVING count(*) >= 4"
+)
 def block_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Texts that share at least four blocks with those whose number is divisible by 100."""
     index = block_index(_known_texts(spark, d), "arrival_no")
@@ -386,7 +390,7 @@ def zfill_track_all(spark: SparkSession, d: str) -> DataFrame:
     return tracks.select("track_no", zfill("track_no").alias("padded"), track_label("track_no", F.lit("x")).alias("label"), F.col("track_no").try_cast("int").alias("number"))
 
 
-@query("SELECT DISTINCT title, lower(trim(coalesce(title, ''), ' ')) AS normal FROM files")
+@query(f"SELECT DISTINCT title, lower({strip_blanks_sql("coalesce(title, '')")}) AS normal FROM files")
 def normal_titles(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").select("title").distinct().select("title", normal_title("title").alias("normal"))
 
@@ -410,7 +414,11 @@ def collision_names(spark: SparkSession, d: str) -> DataFrame:
     return number_collisions(_targets(spark, d), ["target"], [F.asc("path")]).withColumn("collision_no", F.col("collision_no").cast("bigint"))
 
 
-@query()
+@query(
+    f"WITH {_TARGETS}, n AS (SELECT path AS src, target, list_last(string_split(target, '/')) AS base, row_number() OVER (PARTITION BY target ORDER BY path) - 1 AS n, row_number() OVER (PARTITION BY path ORDER BY target DESC) AS back FROM t), "
+    "s AS (SELECT *, regexp_extract(base, '^.*[^.]([.][^.]*)$', 1) AS ending FROM n) "
+    "SELECT src, regexp_extract(target, '^(.*)/[^/]*$', 1) || '/' || substr(base, 1, length(base) - length(ending)) || CASE WHEN n > 0 THEN ' (' || n || ')' ELSE '' END || ending AS dst, CASE WHEN back = 1 THEN 'move' ELSE 'copy' END AS op FROM s"
+)
 def file_action_plan(spark: SparkSession, d: str) -> DataFrame:
     """Source, destination and operation of every file of a known release."""
     return file_actions(_targets(spark, d).withColumnRenamed("path", "src"), [F.asc("target")])

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from waxmill.functions.text import AUDIO_SUFFIXES, is_audio
 
 
-def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, audio_only: bool = True) -> DataFrame:
-    """path, length, modified of the files under a folder; suffixes are matched in any case.
+def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, audio_only: bool = True, suffixes: tuple[str, ...] = AUDIO_SUFFIXES) -> DataFrame:
+    """path, length, modified of the files under a folder, with audio_only those of these suffixes in any case (REPAIR_SUFFIXES for repairs).
 
     The file source passes over empty files; they are added from its file index, with length 0 and no time, as a file that is
     empty does exist.
@@ -27,7 +27,7 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, audio_
     every = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "path string")
     empty = every.join(listed.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
     both = listed.unionByName(empty)
-    return both.filter(is_audio("path")) if audio_only else both
+    return both.filter(is_audio("path", suffixes)) if audio_only else both
 
 
 def readable(manifest: DataFrame) -> DataFrame:
