@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waxmill.llm import subjects as S
 from waxmill.llm.mixing import Target, mix, source_name, tilted_rates
-from waxmill.llm.packing import Plan, containers, make_plan, pack, reduce_dominated
+from waxmill.llm.packing import Plan, best_fit, containers, make_plan, pack, reduce_dominated
 from waxmill.llm.queries import QUERIES
 from waxmill.llm.tokens import DEFAULT_RANKS, count, encoding, parts
 
@@ -85,10 +85,32 @@ def test_the_reduction_loses_no_container():
         assert plan.bins + (fewest(left, 20) if left else 0) == fewest(items, 20)
 
 
+def test_the_reduction_saves_containers():
+    """Instances on which best fit alone needs a container more."""
+    rnd, saved = random.Random(11), 0
+    for _ in range(3000):
+        counts = Counter(rnd.choice([20, 26, 31, 33, 35, 37, 41, 50, 63, 65, 67, 69, 74]) for _ in range(rnd.randint(6, 11)))
+        alone, plan = Plan(100), make_plan(dict(counts), 100)
+        best_fit(dict(counts), alone)
+        if plan.bins < alone.bins:
+            saved += 1
+            assert plan.fixed_bins > 0
+            if saved <= 5:
+                assert plan.bins >= fewest(list(counts.elements()), 100)
+    assert saved > 0
+
+
+def test_plan_of_the_documents(spark, small):
+    row = QUERIES["p7_plan"](spark, small).first()
+    assert row["containers"] == QUERIES["p7_containers"](spark, small).count()
+    assert row["least_containers"] <= row["containers"] <= row["least_containers"] + 1
+    assert row["items"] == QUERIES["p7_contents"](spark, small).filter("container >= 0").count()
+
+
 def test_pack(spark, encoder):
     rnd = random.Random(4)
     word = lambda n: " ".join(rnd.choices(["record", "band", "song", "the", "of"], k=n))
-    rows = [(i, word(rnd.randint(1, 40))) for i in range(300)] + [(900 + i, None) for i in range(3)] + [(910, ""), (911, word(700)), (912, word(64)), (None, "x")] + [(1000 + i, "same text") for i in range(200)]
+    rows = [(i, word(rnd.randint(1, 40))) for i in range(300)] + [(900 + i, None) for i in range(3)] + [(910, ""), (911, word(700)), (912, word(64)), *[(None, "x")] * 40] + [(1000 + i, "same text") for i in range(200)]
     rows += [(5, rows[5][1])]
     df = spark.createDataFrame(rows, "doc long, body string").withColumns({"id": F.lit("clash"), "tokens": F.lit("clash"), "size": F.lit(0)})
     packed = pack(df, "doc", "body", capacity=64)

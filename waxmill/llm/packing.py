@@ -191,6 +191,28 @@ def _ranked(items: DataFrame, by: list[str]) -> DataFrame:
     return sharded.withColumn("within", within).join(before, ["size", "shard"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("shard", "within", "before")
 
 
+def _items(docs: DataFrame, id: str, text: str, capacity: int, ranks_file: str) -> tuple[DataFrame, DataFrame, Plan]:
+    """(sizes of the texts, items with their sizes, the plan)."""
+    # rows without an id are told apart, once and for all as they are written
+    tag = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
+    sizes = materialize(token_counts(docs.select(F.col(id).alias("id"), tag.alias("tag"), F.col(text).alias("text")), "text", ranks_file), "sizes")
+    cut = sizes.filter("tokens > 0").select("id", "tag", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int"))).alias("piece_no"))
+    items = cut.select("id", "tag", "piece_no", F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("size"))
+    # at most `capacity` rows
+    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    return sizes, items, make_plan(counts, capacity)
+
+
+def plan_summary(docs: DataFrame, id: str, text: str, capacity: int = CAPACITY, ranks_file: str = DEFAULT_RANKS) -> DataFrame:
+    """items, tokens, containers, fixed_containers (by the reduction), least_containers (what the tokens need), best_fit_containers (best fit without the reduction): one row about the packing of these texts."""
+    _, items, plan = _items(docs, id, text, capacity, ranks_file)
+    alone = Plan(capacity)
+    best_fit(plan.placed, alone)
+    tokens = sum(size * n for size, n in plan.placed.items())
+    row = (sum(plan.placed.values()), tokens, plan.bins, plan.fixed_bins, -(-tokens // capacity), alone.bins)
+    return items.sparkSession.createDataFrame([row], "items long, tokens long, containers long, fixed_containers long, least_containers long, best_fit_containers long")
+
+
 def pack(docs: DataFrame, id: str, text: str, capacity: int = CAPACITY, ranks_file: str = DEFAULT_RANKS) -> DataFrame:
     """id, piece_no, tokens, container: the container of every text, by tokens of a public tokenizer.
 
@@ -198,12 +220,7 @@ def pack(docs: DataFrame, id: str, text: str, capacity: int = CAPACITY, ranks_fi
     empty texts hold no tokens and take no room: their container is -1. Every row is an item of its own, also rows repeated or
     with a null id. An empty table gives an empty result; other columns are ignored.
     """
-    sizes = materialize(token_counts(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text"), "sizes")
-    cut = sizes.filter("tokens > 0").select("id", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int"))).alias("piece_no"))
-    items = cut.select("id", "piece_no", F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("size"))
-    # at most `capacity` rows
-    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    plan = make_plan(counts, capacity)
+    sizes, items, plan = _items(docs, id, text, capacity, ranks_file)
     rows = np.array(sorted(plan.rows), dtype=np.int64).reshape(-1, 5)
     sizes_of, firsts, bins, each = rows[:, 0], rows[:, 1], rows[:, 3], rows[:, 4]
     # one number for (size, rank), for a single binary search
@@ -217,7 +234,7 @@ def pack(docs: DataFrame, id: str, text: str, capacity: int = CAPACITY, ranks_fi
             yield pd.DataFrame({"id": f["id"], "piece_no": f["piece_no"], "tokens": f["size"], "container": container})
 
     schema = sizes.select("id").schema.add("piece_no", "integer").add("tokens", "integer").add("container", "long")
-    placed = _ranked(items, ["id", "piece_no"]).select("id", "piece_no", "size", "rank").mapInPandas(assign, schema)
+    placed = _ranked(items, ["id", "tag", "piece_no"]).select("id", "piece_no", "size", "rank").mapInPandas(assign, schema)
     empty = sizes.filter("tokens = 0").select("id", F.lit(0).alias("piece_no"), F.lit(0).alias("tokens"), F.lit(-1).cast("bigint").alias("container"))
     return placed.unionByName(empty).withColumnRenamed("id", id)
 

@@ -9,7 +9,7 @@ from waxmill.functions.ids import canonical_id_sql, clean_text, strip_blanks_sql
 from waxmill.llm.best import best_copy_order, best_representatives, current_files
 from waxmill.llm.history import exact_repeats, near_repeats
 from waxmill.llm.mixing import Target, mix
-from waxmill.llm.packing import containers, pack
+from waxmill.llm.packing import containers, pack, plan_summary
 from waxmill.llm.subjects import subject_areas
 from waxmill.llm.topn import top_n
 from waxmill.sources.tables import read_table
@@ -32,13 +32,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 EMPTY_EXCERPT = "d41d8cd98f00b204e9800998ecf8427e"
 
 
+def p4_hash_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The exact half of p4_found: hashes of one recipe that were there before."""
+    hashes, value = read_table(spark, d, "audio_hashes"), F.lower(clean_text("audio_hash"))
+    same = exact_repeats(hashes, [F.col("recipe"), F.when(value != EMPTY_EXCERPT, value)], "arrival_no", "batch_no")
+    return same.select(F.lit("audio_hashes").alias("table_name"), F.col("arrival").alias("arrival_no"), F.col("matched").alias("matched_no"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows of each batch that repeat, or nearly repeat, something accepted before."""
-    hashes, texts = read_table(spark, d, "audio_hashes"), read_table(spark, d, "known_fingerprints")
-    value = F.lower(clean_text("audio_hash"))
-    same = exact_repeats(hashes, [F.col("recipe"), F.when(value != EMPTY_EXCERPT, value)], "arrival_no", "batch_no")
+    texts = read_table(spark, d, "known_fingerprints")
     near = near_repeats(texts, "fingerprint", "arrival_no", "batch_no")
-    return same.select(F.lit("audio_hashes").alias("table_name"), F.col("arrival").alias("arrival_no"), F.col("matched").alias("matched_no")).unionByName(
+    return p4_hash_repeats(spark, d).unionByName(
         near.select(F.lit("known_fingerprints").alias("table_name"), F.col("arrival").alias("arrival_no"), F.col("matched").alias("matched_no"))
     )
 
@@ -58,6 +63,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(p7_contents(spark, d))
 
 
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, how many of them the reduction fixed, and how few there could be."""
+    return plan_summary(read_table(spark, d, "documents"), "doc_id", "text")
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = {r["source"]: Target(r["target_share"], r["max_repeats"]) for r in read_table(spark, d, "mix_targets").collect()}
     return mix(read_table(spark, d, "documents"), "doc_id", "text", "source", targets)
@@ -89,7 +99,7 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _areas(spark, d).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p7_found, p7_contents, p7_containers, p8_selection, p8_shares, p9_found, p9_corpus)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p4_found, p4_hash_repeats, p7_found, p7_contents, p7_containers, p7_plan, p8_selection, p8_shares, p9_found, p9_corpus)}
 
 _FORMAT = f"regexp_replace({strip_blanks_sql('lower(format)')}, '^[.]+', '')"
 _CURRENT = f"""
@@ -103,7 +113,11 @@ current AS (
 """
 _BEST = "score DESC NULLS LAST, file_size DESC NULLS LAST, date_modified DESC NULLS LAST, path"
 
+_HASH = f"lower({strip_blanks_sql('audio_hash')})"
 ORACLE_SQL = {
+    "p4_hash_repeats": f"""WITH h AS (SELECT DISTINCT recipe, {_HASH} AS hash, arrival_no, batch_no FROM audio_hashes WHERE {_HASH} NOT IN ('', '{EMPTY_EXCERPT}') AND recipe IS NOT NULL AND arrival_no IS NOT NULL AND batch_no IS NOT NULL),
+first AS (SELECT recipe, hash, min(arrival_no) AS matched_no FROM h GROUP BY ALL)
+SELECT DISTINCT 'audio_hashes' AS table_name, arrival_no, matched_no FROM h JOIN first USING (recipe, hash) WHERE batch_no > 0 AND matched_no < arrival_no""",
     "p1_found": f"""WITH {_CURRENT},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY acoustid_id ORDER BY {_BEST}) AS place FROM current WHERE acoustid_id IS NOT NULL)
 SELECT acoustid_id, arg_min(path, place) AS path,
