@@ -44,6 +44,8 @@ WORDS = 4
 COMMON_SHARE, MOST_COMMON = 0.001, 1 << 16
 #: The earliest so many texts of a block are compared first; the others only where an earlier partner may be among them.
 HEAD = 64
+#: The other texts of a block are compared in parts of about so many.
+PART_TEXTS = 50_000
 #: Characters worked on at once.
 CHUNK = 1 << 20
 #: Batches made ready at the same time.
@@ -337,22 +339,38 @@ def _near() -> Column:
     return (F.col("old") < F.col("id")) & (F.abs(F.col("old_len") - F.col("len")) <= k) & (F.col("old_first") - k <= F.col("last")) & (F.col("first") - k <= F.col("old_last"))
 
 
+def _few_bits(k: Column) -> Column:
+    """Whether the fingerprints differ by no more than k edits can change."""
+    return hamming("old_bits", "bits") <= 4 * k
+
+
 def _verified(pairs: DataFrame, stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Those of the pairs (old, new) whose fingerprints and then texts are near enough; a pair of a text and itself is a mark and passed on."""
-    left = stored.select(F.col("id").alias("old"), F.col("text").alias("old_text"), F.col("bits").alias("old_bits"))
-    right = new.select(F.col("id").alias("new"), "text", "bits")
-    both = pairs.distinct().join(left, "old", "left").join(right, "new")
-    k = most_edits(F.greatest(F.length("old_text"), F.length("text")))
+    """Those of the pairs (old, new) whose fingerprints and then texts are near enough; a pair of a text and itself is a mark and passed on.
+
+    The fingerprints go with the pairs first; texts are fetched for what is left.
+    """
+    bits = stored.select(F.col("id").alias("old"), F.col("len").alias("old_len"), F.col("bits").alias("old_bits"))
+    right = new.select(F.col("id").alias("new"), "len", "text", "bits")
     mark = F.col("old") == F.col("new")
-    close = both.filter(mark | (hamming("old_bits", "bits") <= 4 * k))
-    return close.filter(mark | (F.call_function("levenshtein", F.col("old_text"), F.col("text"), k) >= 0)).select("old", "new")
+    k = most_edits(F.greatest("old_len", "len"))
+    close = pairs.distinct().join(bits, "old", "left").join(right, "new").filter(mark | _few_bits(k)).select("old", "new", "text")
+    both = close.join(stored.select(F.col("id").alias("old"), F.col("text").alias("old_text")), "old", "left")
+    k = most_edits(F.greatest(F.length("old_text"), F.length("text")))
+    return both.filter(mark | (F.call_function("levenshtein", F.col("old_text"), F.col("text"), k) >= 0)).select("old", "new")
 
 
-def _rest(old: DataFrame, new: DataFrame, parts: int) -> DataFrame:
-    """old, new: the pairs that are left for blocks of many texts, the old ones of a block being spread over `parts` parts; none later than `best`."""
-    a = old.withColumn("part", F.pmod(F.xxhash64("old"), F.lit(parts)).cast("int"))
-    b = new.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return a.join(b, ["piece", "part"]).filter(_near() & (F.col("old") < F.coalesce("best", "id"))).select("old", F.col("id").alias("new"))
+def _rest(old: DataFrame, new: DataFrame, stored: DataFrame, texts: DataFrame) -> DataFrame:
+    """old, new: the pairs that are left for blocks of many texts, none later than `best`, compared by their fingerprints where they meet.
+
+    The old ones of a block are spread over parts of about PART_TEXTS.
+    """
+    old = materialize(old, "rest")
+    longest = old.groupBy("piece").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = 1 + longest // PART_TEXTS
+    a = old.join(stored.select(F.col("id").alias("old"), F.col("bits").alias("old_bits")), "old").withColumn("part", F.pmod(F.xxhash64("old"), F.lit(parts)).cast("int"))
+    b = new.join(texts.select("id", "bits"), "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
+    met = _near() & (F.col("old") < F.coalesce("best", "id")) & _few_bits(most_edits(F.greatest("old_len", "len")))
+    return a.join(b, ["piece", "part"]).filter(met).select("old", F.col("id").alias("new"))
 
 
 def pairs_with_history(pieces: DataFrame, texts: DataFrame, new_pieces: DataFrame, new_texts: DataFrame) -> DataFrame:
@@ -370,10 +388,10 @@ def pairs_with_history(pieces: DataFrame, texts: DataFrame, new_pieces: DataFram
     if marked.isEmpty():
         return found
     best = found.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("best"))
-    last = placed.filter(F.col("place") == HEAD + 1).select("piece", F.col("id").alias("from"))
-    rest = looked_up.join(last, "piece").filter(F.col("id") >= F.col("from")).drop("from")
-    waiting = new_pieces.join(marked.withColumnRenamed("new", "id"), "id", "left_semi").join(last.select("piece"), "piece", "left_semi").join(best, "id", "left")
-    return found.unionByName(materialize(_verified(_rest(_old(rest), waiting, default_partitions(pieces.sparkSession)), texts, new_texts), "pairs"))
+    last = materialize(placed.filter(F.col("place") == HEAD + 1).select("piece", F.col("id").alias("from")), "long")
+    rest = pieces.join(last, "piece").filter(F.col("id") >= F.col("from")).drop("from")
+    waiting = new_pieces.join(last.select("piece"), "piece", "left_semi").join(marked.withColumnRenamed("new", "id"), "id", "left_semi").join(best, "id", "left")
+    return found.unionByName(materialize(_verified(_rest(_old(rest), waiting, texts, new_texts), texts, new_texts), "pairs"))
 
 
 def pairs_within(stored: DataFrame, looked_up: DataFrame, texts: DataFrame, refused: DataFrame) -> DataFrame:
@@ -395,7 +413,7 @@ def pairs_within(stored: DataFrame, looked_up: DataFrame, texts: DataFrame, refu
     led = materialize(_verified(every(open_old.join(leaders, "id", "left_semi")), texts, texts), "pairs")
     best = led.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("best"))
     still_open = open_old.join(best.select("id").union(leaders), "id", "left_anti")
-    met = _rest(_old(still_open), open_new.join(best, "id", "left"), default_partitions(stored.sparkSession))
+    met = _rest(_old(still_open), open_new.join(best, "id", "left"), texts, texts)
     return led.unionByName(materialize(_verified(met, texts, texts), "pairs"))
 
 
@@ -579,6 +597,8 @@ def near_repeats(rows: DataFrame, text: str, arrival: str, batch: str) -> DataFr
         waiting = [pool.submit(inheritable_thread_target(spark)(history.ready), of(b), "text", "arrival") for b in numbers[1:]]
         for b, ready in zip(numbers[1:], waiting, strict=True):
             found = found.unionByName(history.match(b, ready.result()))
+            # the driver gives up what the batch has left behind (broadcasts, plans, shuffle files), however many batches there are
+            spark.sparkContext._jvm.System.gc()
     history.close()
     return found
 
