@@ -190,6 +190,13 @@ def test_near_repeats_as_plain(spark, seed):
     assert got == brute.near_repeats(rows)
 
 
+def test_waiting_batches_are_added_in_groups():
+    assert H.backlog({0: 100, 1: 10, 2: 10, 3: 10, 4: 5, 5: 40, 6: 1}) == [[0], [1, 2, 3], [4, 5], [6]]
+    assert H.backlog({0: 1}) == [[0]]
+    assert H.backlog({2: 5, 1: 5}) == [[1], [2]]
+    assert H.backlog({}) == []
+
+
 def test_batches_one_at_a_time(spark):
     rows = texts(7)
     history, got = TextHistory(spark, scratch_path(spark, "history")), set()

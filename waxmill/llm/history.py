@@ -48,8 +48,10 @@ HEAD = 64
 PART_TEXTS = 50_000
 #: Characters worked on at once.
 CHUNK = 1 << 20
-#: Batches made ready at the same time.
-AHEAD = 2
+#: Groups of batches made ready while one is matched.
+AHEAD = 1
+#: Batches that wait are added together until they have this share of the rows before them.
+BACKLOG_SHARE = 0.25
 #: What is left to decide in order is decided in one task once it is at most so many pairs (16 bytes each).
 ONE_TASK_PAIRS = 2_000_000
 
@@ -576,9 +578,9 @@ class TextHistory:
 def near_repeats(rows: DataFrame, text: str, arrival: str, batch: str) -> DataFrame:
     """arrival, matched: the rows of later batches that agree with an accepted row of smaller arrival, and the smallest such.
 
-    rows: everything that has arrived, history (batch 0, all accepted) and later batches, of which there may be some thousands; they are
-    added to a `TextHistory` one after the other. A later row that agrees with no accepted one is accepted. Rows without a
-    batch are left out; for nulls, blanks and repeated rows see TextHistory.add. An empty table gives an empty result.
+    rows: everything that has arrived, history (batch 0, all accepted) and later batches, of which there may be some thousands. They are
+    added to a `TextHistory` one after the other, small ones that wait anyway together (see backlog): rows are taken in order of arrival within what is added,
+    so that the result doesn't depend on the grouping. A later row that agrees with no accepted one is accepted. Rows without a batch are left out; for nulls, blanks and repeated rows see TextHistory.add. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "arrived")
@@ -587,22 +589,36 @@ def near_repeats(rows: DataFrame, text: str, arrival: str, batch: str) -> DataFr
     arrived = spark.read.schema("text string, arrival bigint, batch int").parquet(path)
     history = TextHistory(spark, scratch_path(spark, "history"))
     found = spark.createDataFrame([], "arrival bigint, matched bigint")
-    numbers = [r["batch"] for r in arrived.select("batch").distinct().orderBy("batch").collect()]
-    of = lambda b: arrived.filter(F.col("batch") == b)
-    if numbers:
-        part = history.add(numbers[0], of(numbers[0]), "text", "arrival")
-        found = part if numbers[0] else found
-    # the next batches are made ready while one is matched
+    sizes = {r["batch"]: r["n"] for r in arrived.groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()}
+    groups = backlog(sizes)
+    of = lambda group: arrived.filter(F.col("batch").isin(group))
+    if groups:
+        part = history.add(groups[0][-1], of(groups[0]), "text", "arrival")
+        found = part if groups[0][-1] else found
+    # the next group is made ready while one is matched
     with ThreadPoolExecutor(AHEAD) as pool:
-        waiting = [pool.submit(inheritable_thread_target(spark)(history.ready), of(b), "text", "arrival") for b in numbers[1:]]
-        for b, ready in zip(numbers[1:], waiting, strict=True):
-            found = found.unionByName(history.match(b, ready.result()))
-            # the driver gives up what the batch has left behind (broadcasts, plans, shuffle files), however many batches there are
+        waiting = [pool.submit(inheritable_thread_target(spark)(history.ready), of(g), "text", "arrival") for g in groups[1:]]
+        for g, ready in zip(groups[1:], waiting, strict=True):
+            found = found.unionByName(history.match(g[-1], ready.result()))
+            # the driver gives up what the group has left behind (broadcasts, plans, shuffle files), however many there are
             spark.sparkContext._jvm.System.gc()
     history.close()
     return found
 
 
+def backlog(sizes: dict[int, int], share: float = BACKLOG_SHARE) -> list[list[int]]:
+    """Batches (rows by number) in groups to be added together: history (batch 0) alone, later ones until a group has this share of the rows before it."""
+    groups: list[list[int]] = []
+    before = held = 0
+    for batch in sorted(sizes):
+        if not groups or groups[-1] == [0] or held >= share * before:
+            groups.append([])
+            before, held = before + held, 0
+        groups[-1].append(batch)
+        held += sizes[batch]
+    return groups
+
+
 def exact_repeats(rows: DataFrame, keys: list[Column], arrival: str, batch: str) -> DataFrame:
     """arrival, matched: the rows of later batches whose keys all equal those of an earlier row, and the smallest such arrival.
 
