@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import brute
 import oracle
@@ -287,6 +288,47 @@ def test_agreeing_texts_meet_in_a_block(seed):
             assert any(x == y and abs(p - q) <= shift for x, p in a for y, q in b), pair
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_agreeing_texts_meet_whatever_is_common(seed):
+    """Common, very common and other pieces in any mixture: each way of choosing stretches misses nothing."""
+    rnd, popular = random.Random(seed), "AAAAAAARI2kuEvCB"
+    met = 0
+    for _ in range(150):
+        tokens = ["".join(rnd.choices("ABCDEFGHIJKLMNOP", k=16)) for _ in range(rnd.choice([2, 4, 8, 12, 14, 20]))]
+        base = "".join(popular if rnd.random() < 0.4 else t for t in tokens)
+        pair = [base, edited(rnd, base, int(len(base) * 0.05))]
+        if not brute.agree(*pair):
+            continue
+        met += 1
+        codes, starts, ends = H._coded(pa.array(pair))
+        known = H._coded(pa.array([popular * 2 + (base if rnd.random() < 0.3 else "")]))[0]
+        share = rnd.random()
+        pieces = {int(x) for c, s in enumerate(H.stretches()) for x in H._pieces_hashed(known, c, s.piece)}
+        stored, looked_up = H.blocks_of(codes, starts, ends, H.Common([-1 - x if rnd.random() < share else x for x in pieces]))
+        for old, new in ((0, 1), (1, 0)):
+            shift = int(max(map(len, pair)) * 0.05 + 1e-9)
+            a = [(int(b), int(p)) for t, b, p in zip(*stored, strict=True) if t == old]
+            b = [(int(b), int(p)) for t, b, p in zip(*looked_up, strict=True) if t == new]
+            assert any(x == y and abs(p - q) <= shift for x, p in a for y, q in b), pair
+    assert met > 50
+
+
+def test_popular_parts_make_no_long_blocks(spark):
+    """Texts of different content with runs of one popular part: no block holds a share of them all, which would cost pairs by the square."""
+    rnd, popular = random.Random(12), "AAAAAAARI2kuEvCB"
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    rows = []
+    for _ in range(2000):
+        tokens = ["".join(rnd.choices(alphabet, k=16)) for _ in range(rnd.randint(10, 14))]
+        at = rnd.randint(1, len(tokens) - 4)
+        tokens[at : at + 3] = [popular] * 3
+        rows.append("".join(tokens))
+    common = H.common_pieces(spark.createDataFrame([(r,) for r in rows], "text string").coalesce(1))
+    (text, block, _), _ = H.blocks_of(*H._coded(pa.array(rows)), H.Common(common))
+    held = Counter(b for _, b in set(zip(text.tolist(), block.tolist(), strict=True)))
+    assert max(held.values()) <= 0.01 * len(rows)
+
+
 def test_long_texts_in_parts(monkeypatch):
     rnd = random.Random(9)
     text = "".join(rnd.choices("ABCDEFGHIJ", k=5000))

@@ -10,7 +10,9 @@ distance of the texts, and what is accepted of it is appended.
 k edits can't touch all of k+1 stretches of a text that don't overlap, so a text that agrees with it has one of them unchanged, moved by
 at most k places. A stretch is known by the piece with the least hash in it, its block: k+1 blocks are stored of every text, and a new text
 looks up the least pieces of all its stretches, neighbouring ones mostly having the same. Nothing is missed. Pieces that many texts hold
-come last in the order of the hashes, and stretches that have only such pieces are passed over where others are enough.
+come last in the order of the hashes, and stretches that have only such pieces are passed over where others are enough; if not, those that
+have only the most frequent ones are. Stretches are so much shorter than they could be that this is nearly always possible: a block of a piece that a share of
+all texts holds would cost pairs that grow with the square of the texts.
 """
 
 from __future__ import annotations
@@ -34,18 +36,18 @@ from waxmill.session import default_partitions, materialize, scratch_path
 EDIT_SHARE = 0.05
 #: Lengths of the stored text from which on longer stretches are used; below the first no edit is allowed and the whole text is the block.
 CLASSES = (19, 38, 57, 114, 190)
-#: Characters of a piece, and in short texts.
-PIECE, SHORT_PIECE = 8, 6
+#: Characters of a piece.
+PIECE = 6
 #: The part of a stretch that is given up so that some can be passed over.
-SPARE = 0.08
+SPARE = 0.2
 #: Bits of the bit-difference fingerprint, in words of 64.
 WORDS = 4
-#: A piece held by this share of the first batch's texts is common; so many of the most frequent are remembered. Neither changes what is found.
-COMMON_SHARE, MOST_COMMON = 0.001, 1 << 16
+#: A piece held by these shares of the first batch's texts is common, or very common; so many of the most frequent are remembered. Neither changes what is found.
+COMMON_SHARE, VERY_COMMON_SHARE, MOST_COMMON = 0.0002, 0.005, 1 << 16
 #: The earliest so many texts of a block are compared first; the others only where an earlier partner may be among them.
 HEAD = 64
 #: The other texts of a block are compared in parts of about so many.
-PART_TEXTS = 50_000
+PART_TEXTS = 2_000
 #: Characters worked on at once.
 CHUNK = 1 << 20
 #: Groups of batches made ready while one is matched.
@@ -91,7 +93,7 @@ def stretches() -> list[Stretch]:
         # beyond some thousand characters there is only more room
         room = min(n // (reach(n) + 1) for n in range(low, min(high, 4000)))
         size = room - max(1, int(room * SPARE)) if room > 10 else room
-        out.append(Stretch(low, high, size, PIECE if size >= PIECE + 3 else SHORT_PIECE))
+        out.append(Stretch(low, high, size, PIECE))
     return out
 
 
@@ -102,30 +104,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces_hashed(codes: np.ndarray, seed: int, size: int) -> np.ndarray:
-    """63-bit hashes of the pieces of `size` characters at every place."""
+    """62-bit hashes of the pieces of `size` characters at every place."""
     n = max(0, len(codes) - size + 1)
     h = np.full(n, np.uint64(seed + 1))
     for j in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n] + np.uint64(1)
-    return _mix(h) >> np.uint64(1)
+    return _mix(h) >> np.uint64(2)
+
+
+#: Where the hashes of common and of very common pieces begin in their order.
+COMMON, VERY_COMMON = np.uint64(1 << 62), np.uint64(1 << 63)
 
 
 class Common:
-    """The common pieces; membership by a table of bits first."""
+    """The common pieces, very common ones given as -1 - hash; membership by a table of bits first."""
 
     def __init__(self, pieces: list[int]):
-        self.sorted = np.array(sorted(pieces), dtype=np.uint64)
+        given = np.array(pieces, dtype=np.int64)
+        hashes = np.where(given < 0, -1 - given, given).view(np.uint64)
+        order = np.argsort(hashes)
+        self.sorted, self.mark = hashes[order], np.where(given < 0, VERY_COMMON, COMMON)[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.sorted & np.uint64(len(self.bits) - 1)).astype(np.int64)] = True
 
     def ordered(self, hashes: np.ndarray) -> np.ndarray:
-        """The hashes with those of common pieces after all others."""
+        """The hashes with those of common pieces after all others, and those of very common ones last."""
         if not len(self.sorted):
             return hashes
         maybe = np.nonzero(self.bits[(hashes & np.uint64(len(self.bits) - 1)).astype(np.int64)])[0]
         at = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), len(self.sorted) - 1)
         out = hashes.copy()
-        out[maybe[self.sorted[at] == hashes[maybe]]] |= np.uint64(1 << 63)
+        held = self.sorted[at] == hashes[maybe]
+        out[maybe[held]] |= self.mark[at[held]]
         return out
 
 
@@ -186,8 +196,9 @@ def blocks_of(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: C
     for c, kind in enumerate(stretches()):
         # a stored text that agrees is shorter or longer than this one by all edits at most
         mine = np.nonzero((lengths + needed - 1 >= kind.low) & (lengths - (lengths * EDIT_SHARE + 1e-9).astype(np.int64) < kind.high))[0]
-        free, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        chosen: list[Blocks] = []
+        # passing over the stretches of common pieces alone, and those of very common ones alone
+        free, count = np.zeros((2, len(starts)), np.int64), np.zeros((2, len(starts)), np.int64)
+        chosen: tuple[list[Blocks], list[Blocks]] = ([], [])
         grid: list[Blocks] = []
         for texts, a, b in _slices(starts[mine], ends[mine], kind.size - 1):
             texts = mine[texts]
@@ -212,25 +223,29 @@ def blocks_of(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: C
             start = place[:n] - starts[of]
             on_grid = np.nonzero(inside & fits[of] & (start % kind.size == 0))[0]
             grid.append((of[on_grid], least[on_grid], place[at[on_grid]] - starts[of[on_grid]]))
-            # stretches from left to right, those of common pieces alone being passed over
-            telling = np.where(inside & (least < np.uint64(1 << 63)), np.arange(n), n)
-            following = np.minimum.accumulate(telling[::-1])[::-1].tolist()
             sizes = b - a
             first = np.cumsum(sizes) - sizes
-            picked: list[int] = []
-            for t, at0, size, from0 in zip(texts.tolist(), first.tolist(), sizes.tolist(), (a - starts[texts]).tolist(), strict=True):
-                if not fits[t]:
-                    continue
-                i, end, left = at0 + max(0, int(free[t]) - from0), min(n, at0 + size - kind.size + 1), int(needed[t] - count[t])
-                while left and i < end and (i := following[i]) < end:
-                    picked.append(i)
-                    i += kind.size
-                    left -= 1
-                free[t], count[t] = i - at0 + from0, needed[t] - left
-            p = np.array(picked, dtype=np.int64)
-            chosen.append((of[p], least[p], place[at[p]] - starts[of[p]]))
-        enough = count >= needed
-        stored += [tuple(x[enough[t]] for x in (t, *rest)) for t, *rest in chosen] + [tuple(x[~enough[t]] for x in (t, *rest)) for t, *rest in grid]
+            parts = list(zip(texts.tolist(), first.tolist(), sizes.tolist(), (a - starts[texts]).tolist(), strict=True))
+            for level, limit in enumerate((COMMON, VERY_COMMON)):
+                # stretches from left to right
+                telling = np.where(inside & (least < limit), np.arange(n), n)
+                following = np.minimum.accumulate(telling[::-1])[::-1].tolist()
+                picked: list[int] = []
+                for t, at0, size, from0 in parts:
+                    # the second way only for texts that may lack some by the first
+                    if not fits[t] or level and size == lengths[t] and count[0, t] >= needed[t]:
+                        continue
+                    i, end, left = at0 + max(0, int(free[level, t]) - from0), min(n, at0 + size - kind.size + 1), int(needed[t] - count[level, t])
+                    while left and i < end and (i := following[i]) < end:
+                        picked.append(i)
+                        i += kind.size
+                        left -= 1
+                    free[level, t], count[level, t] = i - at0 + from0, needed[t] - left
+                p = np.array(picked, dtype=np.int64)
+                chosen[level].append((of[p], least[p], place[at[p]] - starts[of[p]]))
+        way = np.where(count[0] >= needed, 0, np.where(count[1] >= needed, 1, 2))
+        for k, blocks in enumerate((*chosen, grid)):
+            stored += [tuple(x[way[t] == k] for x in (t, *rest)) for t, *rest in blocks]
     return _sorted_blocks(stored), _sorted_blocks(looked_up)
 
 
@@ -294,9 +309,9 @@ def prepare(texts: DataFrame, common: list[int]) -> DataFrame:
 
 
 def common_pieces(texts: DataFrame) -> list[int]:
-    """At most MOST_COMMON hashes of the pieces that at least COMMON_SHARE of the texts hold.
+    """At most MOST_COMMON hashes of the pieces that at least COMMON_SHARE of the texts hold, as Common takes them.
 
-    A task passes on what is common in its parts, so a piece may be overlooked; that changes which blocks are chosen, never what is found.
+    A task passes on what two texts of a part hold, or COMMON_SHARE of a larger part, so a piece may be overlooked; that changes which blocks are chosen, never what is found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +330,7 @@ def common_pieces(texts: DataFrame) -> list[int]:
                     owner, hashed = owner[order], hashed[order]
                     new = np.append(True, (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))[: len(hashed)]
                     key, held = np.unique(hashed[new], return_counts=True)
-                    often = held >= max(3, COMMON_SHARE * part.num_rows)
+                    often = held >= max(2, COMMON_SHARE * part.num_rows)
                     keys.append(key[often].view(np.int64))
                     counts.append(held[often])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))], names=["piece", "n"])
@@ -323,7 +338,8 @@ def common_pieces(texts: DataFrame) -> list[int]:
     counted = materialize(texts.select("text").mapInArrow(run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n")), "common")
     total = counted.filter("piece = -1").agg(F.max("n")).first()[0] or 0
     often = counted.filter((F.col("piece") >= 0) & (F.col("n") >= max(3.0, COMMON_SHARE * total)))
-    return [r["piece"] for r in often.orderBy(F.desc("n"), "piece").limit(MOST_COMMON).collect()]
+    very = max(3.0, VERY_COMMON_SHARE * total)
+    return [-1 - r["piece"] if r["n"] >= very else r["piece"] for r in often.orderBy(F.desc("n"), "piece").limit(MOST_COMMON).collect()]
 
 
 def hamming(a: str, b: str) -> Column:
